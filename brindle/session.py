@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "brindle", cores: int = 8, shuffle: int = 8) -> SparkSession:
     """A local session for tests and benches; clusters bring their own."""
-    return (
+    return reach(
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle))
@@ -22,6 +24,14 @@ def get_spark(app: str = "brindle", cores: int = 8, shuffle: int = 8) -> SparkSe
     )
 
 
+def reach(spark: SparkSession) -> SparkSession:
+    """Let Python workers find this package where the driver's working folder or PYTHONPATH doesn't."""
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; only where it is unset (tests) a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
