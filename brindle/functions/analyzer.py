@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -216,21 +216,27 @@ def tokenize(text: str | None, p: Params = Params()) -> list[tuple[str, int]]:
         text = _SEMITIC_MARKS.sub("", text) if p.remove_marks else text
         text = text.translate(_CEDILLAS)
         text = text.translate(_ARABIC) if p.arabic_normalize else text
+    filters = _filters(p)
+    return [(t, at) for w, at in _words(text, p) for t in filters(w)]
+
+
+@lru_cache(maxsize=16)
+def _filters(p: Params):
+    """What a word becomes: no term, one, or two; the answers for 200,000 words are kept."""
     stops = frozenset(p.custom_stop_words) if p.custom_stop_words is not None else STOP_WORDS
-    out = []
-    for w, at in _words(text, p):
+
+    @lru_cache(maxsize=200_000)
+    def run(w: str) -> tuple[str, ...]:
         if p.max_token_length and len(w.encode()) >= p.max_token_length:
-            continue
+            return ()
         w = w.lower() if p.lower_case else w
         w = stem(w) if p.stem else w
         if p.remove_stop_words and w in stops:
-            continue
-        if p.ascii_folding and (folded := fold(w)) != w:
-            if p.ascii_folding_keep_original:
-                out.append((w, at))
-            w = folded
-        out.append((w, at))
-    return out
+            return ()
+        folded = fold(w) if p.ascii_folding else w
+        return (w, folded) if folded != w and p.ascii_folding_keep_original else (folded,)
+
+    return run
 
 
 def terms(text: Column, p: Params = Params()) -> Column:
@@ -246,8 +252,16 @@ def terms(text: Column, p: Params = Params()) -> Column:
             made = F.filter(made, lambda x: F.octet_length(x["t"]) < p.max_token_length)
         return made
 
-    @F.pandas_udf("array<struct<t: string, p: int>>")
-    def analyze(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: None if x is None else [{"t": t, "p": k} for t, k in tokenize(x, p)])
+    @F.arrow_udf("array<struct<t: string, p: int>>")
+    def analyze(texts: pa.Array) -> pa.Array:
+        words, places, ends, known = [], [], [0], []
+        for x in texts.to_pylist():
+            found = tokenize(x, p)
+            words += [t for t, _ in found]
+            places += [k for _, k in found]
+            ends.append(len(words))
+            known.append(x is not None)
+        flat = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(places, pa.int32())], names=["t", "p"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array([not k for k in known], pa.bool_()))
 
     return analyze(text)

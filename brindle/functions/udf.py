@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,7 +53,7 @@ def batch_udf(schema: T.StructType | str, checkpoint: str | None = None) -> Call
     return lambda f: BatchUDF(f, schema, checkpoint)
 
 
-def half_precision(column: str) -> F.Column:
+def half_precision(column: str) -> Column:
     """A float vector rounded to half precision."""
     import numpy as np
     import pandas as pd

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import analyzer
 from brindle.functions.analyzer import Params
+from brindle.session import stash
 
 K1, B = 1.2, 0.75
 
@@ -151,7 +152,7 @@ class _Plan:
         for c, ts in wanted.items():
             arr = F.col(self.terms[c])
             aggs += [F.count(arr).alias(f"n|{c}"), F.sum(F.size(arr)).alias(f"l|{c}")]
-            aggs += [F.count_if(F.exists(arr, lambda x, t=t: x["t"] == t)).alias(f"{k}|{c}") for k, t in enumerate(ts)]
+            aggs += [F.count_if(_has(arr, t)).alias(f"{k}|{c}") for k, t in enumerate(ts)]
         row = self.docs.agg(*aggs).first() if aggs else {}
         for c, ts in wanted.items():
             n = row[f"n|{c}"]
@@ -216,16 +217,25 @@ class _Plan:
     @staticmethod
     def _phrase(arr: Column, ts: list[str], at: list[int], slop: int) -> Column:
         """Every term at its place from one base; with slop each up to that much later than the one before."""
-        shifted = [F.transform(F.filter(arr, lambda x, t=t: x["t"] == t), lambda x, p=p: x["p"] - p) for t, p in zip(ts, at, strict=True)]
+        shifted = [_places(arr, t, p) for t, p in zip(ts, at, strict=True)]
         found = shifted[0]
         for s in shifted[1:]:
-            if slop:
-                found = F.filter(s, lambda r, c=found: F.exists(c, lambda b: (r >= b) & (r <= b + slop)))
-            else:
-                found = F.array_intersect(found, s)
+            found = _within(s, found, slop) if slop else F.array_intersect(found, s)
         return F.size(found) > 0
 
 
+def _has(arr: Column, term: str) -> Column:
+    return F.exists(arr, lambda x: x["t"] == term)
+
+
+def _places(arr: Column, term: str, less: int) -> Column:
+    return F.transform(F.filter(arr, lambda x: x["t"] == term), lambda x: x["p"] - less)
+
+
+def _within(places: Column, before: Column, slop: int) -> Column:
+    return F.filter(places, lambda r: F.exists(before, lambda b: (r >= b) & (r <= b + slop)))
+
+
 def search(df: DataFrame, query: Query | str | dict, limit: int | None = None, key: str | None = None, params: Params = analyzer.PLAIN, terms: dict[str, str] | None = None, columns: list[str] | None = None) -> DataFrame:
     """df's rows that match, with _score; the best `limit` of them by score and key.
 
@@ -285,7 +295,7 @@ class TextIndex:
         live = table.to_df(system=True, fragments=[f.id for f in table.manifest.fragments if f.id in covered])
         docs = live.join(kept, "_rowaddr")
         if rest and not fast:
-            docs = docs.unionByName(table.to_df(system=True, fragments=rest).withColumn("terms", analyzer.terms(F.col(column), self.params)))
+            docs = docs.unionByName(stash(table.to_df(system=True, fragments=rest).withColumn("terms", analyzer.terms(F.col(column), self.params))))
         return search(docs, query, limit, "_rowid", self.params, {column: "terms"}).drop("terms")
 
     def postings(self) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,7 +77,7 @@ class MergeInsert:
             out = out.unionByName(others)
         return out
 
-    def _when(self) -> F.Column | None:
+    def _when(self) -> Column | None:
         if self._condition is None:
             return None
         schema = T.StructType([T.StructField("source", self._row_type("s")), T.StructField("target", self._row_type("t"))])

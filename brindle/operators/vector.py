@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -275,7 +275,7 @@ class IvfIndex:
 # -- binary signatures --------------------------------------------------------------------------------------
 
 
-def sign_bits(column: str) -> F.Column:
+def sign_bits(column: str) -> Column:
     """A vector's signs as one long: bit k is set if element k is above zero (64 elements at most)."""
     return F.expr(f"aggregate(transform(slice({emit.quote(column)}, 1, 64), (x, i) -> if(x > 0, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)")
 
@@ -306,3 +306,29 @@ def recall(df: DataFrame, index: IvfIndex, queries: np.ndarray, k: int = 10, key
         exact = {r[0] for r in nearest(df, {"column": index.entry["column"], "q": q, "k": k, "metric": index.model["metric"]}, key).select(key).collect()}
         hit += len(exact & {r[0] for r in index.search({"q": q, "k": k, **spec}).select(key).collect()})
     return hit / (k * len(queries))
+
+
+QUERY_BLOCK = 4096  # queries that go to the executors at a time
+
+
+def nearest_rows(df: DataFrame, queries: DataFrame, column: str, key: str, k: int = 10, metric: str = "l2", block: int = QUERY_BLOCK) -> DataFrame:
+    """(query, key, _distance, rank): the k nearest rows of every row of queries (key, column), in blocks of queries."""
+    from pyspark.sql import Window
+
+    n = queries.count()
+    parts = []
+    for b in range(max(1, -(-n // block))):
+        mine = queries.where(F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // block)))) == b).select(key, column).orderBy(key).toArrow()  # about a block
+        if not mine.num_rows:
+            continue
+        ids, q = mine[key].to_pylist(), np.array(mine[column].to_pylist(), np.float64)
+        found = nearest(df.select(key, column), {"column": column, "q": q, "k": k, "metric": metric}, key).select("query_index", key, "_distance")
+        names = df.sparkSession.createDataFrame(list(enumerate(ids)), "query_index int, query long")
+        parts.append(found.join(F.broadcast(names), "query_index").select("query", key, "_distance"))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "query long, key long, _distance double, rank int").withColumnRenamed("key", key)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    w = Window.partitionBy("query").orderBy(F.col("_distance").asc_nulls_last(), key)
+    return out.withColumn("rank", F.row_number().over(w))

@@ -10,7 +10,7 @@ import uuid
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +25,8 @@ CANDIDATES = 5_000_000  # that are joined by broadcast at most
 
 def register(table, entry: dict) -> dict:
     """Commit an index over the version's fragments; one of the same name goes."""
-    entry = entry | {"fragments": [f.id for f in table.manifest.fragments], "version": table.version}
+    field = next(f["id"] for f in table.manifest.fields if f["name"] == entry["column"].partition(".")[0])
+    entry = entry | {"field": field, "fragments": [f.id for f in table.manifest.fragments], "version": table.version}
 
     def change(old, number: int):
         old.indexes = [i for i in old.indexes if i["name"] != entry["name"]] + [entry]
@@ -65,7 +66,7 @@ def create(table, column: str, kind: str = "BTREE", name: str | None = None, pat
     return register(table, {"name": name or f"{column}_idx", "column": column, "kind": kind, "path": folder, "json_path": path})
 
 
-def trigrams(col: F.Column) -> F.Column:
+def trigrams(col: Column) -> Column:
     """Distinct runs of three ASCII letters or digits of the lower-cased text, within words."""
     words = F.regexp_extract_all(F.lower(col), F.lit("[a-z0-9]{3,}"), F.lit(0))
     grams = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3)))))
@@ -88,12 +89,16 @@ def describe(table) -> list[dict]:
 
 
 def optimize(table) -> None:
-    """Add what the indexes don't cover yet, as further files of their folders."""
+    """Build anew the indexes that don't cover every fragment."""
     for entry in list(table.manifest.indexes):
         rest = [f.id for f in table.manifest.fragments if f.id not in set(entry["fragments"])]
         if not rest:
             continue
-        if entry["kind"].startswith("IVF"):
+        if entry["kind"] == "INVERTED":
+            from brindle.operators.fts import TextIndex
+
+            TextIndex.build(table, entry["column"], entry["name"], **{k: tuple(v) if isinstance(v, list) else v for k, v in entry["params"].items()})
+        elif entry["kind"].startswith("IVF"):
             from brindle.operators.vector import IvfIndex
 
             IvfIndex.build(table, entry["column"], entry["name"], entry["metric"], kind=entry["kind"])
@@ -139,7 +144,8 @@ class Planner:
             own = emit.resolve(column, self.names)
         except ValueError:
             return []
-        return [i for i in self.table.manifest.indexes if i["column"] == own and i["kind"] in kinds]
+        field = next(f["id"] for f in self.table.manifest.fields if f["name"] == own)
+        return [i for i in self.table.manifest.indexes if i["field"] == field and i["kind"] in kinds]
 
     def plan(self, node: Node) -> Candidates | None:
         """AND takes either side or both, OR needs both; other nodes are looked up, or not answered."""
@@ -188,8 +194,15 @@ class Planner:
             return args[0].value, "contains", [_literal(args[1])[1]]
         return None, None, None
 
+    def _covered(self, entry: dict) -> set[int]:
+        """The index's fragments, without those of which an overlay has set cells of the column since."""
+        m = self.table.manifest
+        field = entry["field"]
+        stale = {f for p in m.patches if p["overlay"] and field in p["fields"] and p["version"] > entry["version"] for f in p["touched"]}
+        return set(entry["fragments"]) - stale
+
     def _answer(self, entry: dict, op: str, values: list) -> Candidates | None:
-        side, covered, kind = self._side(entry), set(entry["fragments"]), entry["kind"]
+        side, covered, kind = self._side(entry), self._covered(entry), entry["kind"]
         t = side.schema["value"].dataType if "value" in side.columns else side.schema["low"].dataType if "low" in side.columns else self.table.schema[entry["column"]].dataType
         lit = lambda v: F.expr(emit.Emitter(T.StructType())(v)[0]).cast(t) if isinstance(v, Node) else F.lit(v).cast(t)
         plain = {"=": lambda c, v: c == v[0], "<": lambda c, v: c < v[0], "<=": lambda c, v: c <= v[0], ">": lambda c, v: c > v[0], ">=": lambda c, v: c >= v[0],

@@ -13,7 +13,7 @@ import time
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -188,7 +188,7 @@ class Table:
         for f in wanted:
             h = held.get(f["id"])
             col = F.lit(None).cast(_type(f)) if h is None else F.col(emit.quote(h["column"]))
-            cols.append(col.alias(f["name"]) if h is None or h["type"] == f["type"] else col.cast(_type(f)).alias(f["name"]))
+            cols.append(col.alias(f["name"]) if h is None else _as(col, T._parse_datatype_json_value(h["type"]), _type(f)).alias(f["name"]))
         if not addressed:
             return df.select(*cols)
         known = spark.createDataFrame(
@@ -364,7 +364,7 @@ class Table:
         touched = [r[0] for r in got.select(F.shiftright("addr", 32)).distinct().collect()]  # a row a fragment
 
         def change(old: Manifest, number: int) -> Manifest:
-            old.patches.append(patch | {"version": number})
+            old.patches.append(patch | {"version": number, "touched": touched})
             return old
 
         return self._again(self.log.commit(self.manifest, {"operation": "DataOverlay", "fragments": touched}, change))
@@ -632,6 +632,15 @@ class Table:
         Store(spark, root).delete("")
 
 
+def _as(col: Column, held: T.DataType, wanted: T.DataType) -> Column:
+    """A file's column as the table has it now: cast, struct fields by name."""
+    if held == wanted:
+        return col
+    if isinstance(held, T.StructType) and isinstance(wanted, T.StructType):
+        return F.when(col.isNotNull(), F.struct(*[_as(col.getField(f.name), held[f.name].dataType, f.dataType).alias(f.name) for f in wanted.fields]))
+    return col.cast(wanted)
+
+
 def _by_schema(fragments: list[Fragment]) -> dict[int, list[Fragment]]:
     out: dict[int, list[Fragment]] = {}
     for f in fragments:
