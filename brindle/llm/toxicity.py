@@ -21,13 +21,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm import labels as L
 
 SAMPLE = 12_000  # labelled documents that training reads
-POSITIVE, NEGATIVE, LANDMARKS = 3_000, 9_000, 160  # fragments that reach the driver, and landmarks
+POSITIVE, NEGATIVE, LANDMARKS = 3_000, 9_000, 320  # fragments that reach the driver, and landmarks
 FOLDS, FOLD = 5, 0
 SURE = 13.0  # least -log chance that a run marks toxic documents by accident
 _STEPS = [(1, 2, 1.0), (1, 3, 0.6), (2, 3, 0.6), (1, 4, 0.36), (2, 4, 0.36), (3, 4, 0.36)]
@@ -81,7 +82,15 @@ def kernel(words: list[str], marks: list[str]) -> np.ndarray:
     hit = known[at] == code
     scaled = weight / _norms(len(words), weight, of)[of]
     out = np.zeros((len(words), len(marks)))
-    np.add.at(out, of[hit], table[at[hit]] * scaled[hit, None])
+    step = 2_000  # words whose features are held at a time
+    of, at, scaled = of[hit], at[hit], scaled[hit]
+    order = np.argsort(of, kind="stable")
+    of, at, scaled = of[order], at[order], scaled[order]
+    for low in range(0, len(words), step):
+        a, b = np.searchsorted(of, [low, low + step])
+        dense = np.zeros((min(step, len(words) - low), len(known)))
+        np.add.at(dense, (of[a:b] - low, at[a:b]), scaled[a:b])
+        out[low : low + step] = dense @ table
     return out
 
 
@@ -126,16 +135,26 @@ def evidence(margins: np.ndarray, least: float) -> list[float]:
     return [*np.clip(top, -5, 5), np.log1p((margins > 0).sum()), np.log1p(len(margins))]
 
 
-def train_machine(bad: list[str], good: list[str], rounds: int = 30, c: float = 10.0) -> Machine:
-    """A linear machine with squared hinge loss over whitened similarities to landmarks, by Newton steps."""
+def train_machine(bad: dict[str, float], good: dict[str, float], rounds: int = 30, c: float = 10.0) -> Machine:
+    """A linear machine with squared hinge loss over whitened similarities to landmarks, by Newton steps.
+
+    bad, good: fragments, those of most evidence first, with the documents that each stands in; these weigh it.
+    Half of a class's landmarks are its first fragments, the rest are spread over the others.
+    """
+
+    def pick(words: list[str], n: int) -> list[str]:
+        first, rest = words[: n // 2], words[n // 2 :]
+        more = min(n - len(first), len(rest))
+        return first + [rest[k * len(rest) // more] for k in range(more)]
+
     half = LANDMARKS // 2
-    pick = lambda words, n: [words[k * len(words) // n] for k in range(min(n, len(words)))] if len(words) > n else words
-    marks = list(dict.fromkeys(w for w in pick(bad, half) + pick(good, half) if w))
+    marks = list(dict.fromkeys(w for w in pick(list(bad), half) + pick(list(good), half) if w))
     value, vector = np.linalg.eigh(kernel(marks, marks))
     whiten = vector / np.sqrt(np.maximum(value, 1e-3))
-    x = np.c_[kernel(bad + good, marks) @ whiten, np.ones(len(bad) + len(good))]
+    x = np.c_[kernel([*bad, *good], marks) @ whiten, np.ones(len(bad) + len(good))]
     y = np.r_[np.ones(len(bad)), -np.ones(len(good))]
-    cost = np.where(y > 0, c * len(y) / (2 * len(bad)), c * len(y) / (2 * len(good)))
+    share = [np.sqrt(np.fromiter(part.values(), float, len(part))) for part in (bad, good)]
+    cost = c * len(y) / 2 * np.concatenate([v / v.sum() for v in share])
     w = np.zeros(x.shape[1])
     ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-3
@@ -168,6 +187,17 @@ def _calibrate(machine: Machine, x: np.ndarray, y: np.ndarray) -> None:
     machine.weights = np.r_[slope, w[-1] - slope @ centre]
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row with the least hash of its runs of three words."""
+    for b in batches:
+        least = []
+        for text in b[1]:
+            words = text.as_py().lower().encode().split()
+            runs = zip(words, words[1:], words[2:], strict=False) if len(words) > 2 else [words]
+            least.append(min(xxhash.xxh64_intdigest(b" ".join(r)) for r in runs) >> 1)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(least, pa.int64())], names=["doc_id", "text", "label", "sketch"])
+
+
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(unit, is_run, in toxic, in clean) a batch; a run is of four or five symbols, counted once a document."""
     for b in batches:
@@ -190,37 +220,41 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Train on at most `rows` labelled documents outside the held-out fold; None if nothing marks either class."""
     chosen = L.sample(labels, "toxic", FOLDS, FOLD, rows)
     texts = L.labelled(docs, chosen, id_col, text_col)
-    count = {r["label"]: r["count"] for r in chosen.groupBy("label").count().collect()}
+    # Near copies would make their every word a mark: of documents with one sketch one counts.
+    distinct = texts.mapInArrow(_sketches, "doc_id long, text string, label int, sketch long").dropDuplicates(["label", "sketch"]).drop("sketch").persist()
+    count = {r["label"]: r["count"] for r in distinct.groupBy("label").count().collect()}
     nt, nc = count.get(1, 0), count.get(0, 0)
     if not nt or not nc:
         return None
-    units = texts.mapInArrow(_units, "unit string, is_run boolean, toxic long, clean long").groupBy("unit", "is_run").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).persist()
+    units = distinct.mapInArrow(_units, "unit string, is_run boolean, toxic long, clean long").groupBy("unit", "is_run").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).persist()
     base = math.log((nt + nc) / nt)
     # A run marks toxic documents if nearly all that hold it are toxic, and chance would hardly have it so.
     chance = F.col("toxic") * base - F.col("clean") * F.log1p(F.col("toxic") / (F.col("clean") + 1))
     marks = units.where("is_run AND toxic >= 4 AND toxic >= 20 * clean").where(chance >= SURE).orderBy(F.desc(chance), "unit").limit(400).collect()
     words = units.where("NOT is_run")
     often = words.where("toxic >= 4 AND toxic >= 8 * clean").where(chance >= SURE).orderBy(F.desc(chance), "unit").limit(POSITIVE).collect()
-    bad = [r["unit"] for r in often]
+    bad = {r["unit"]: r["toxic"] for r in often}
     if marks:
         any_mark = "|".join(re.escape(m["unit"].replace("^", "\1").replace("$", "\2")).replace("\1", "^").replace("\2", "$") for m in marks)
-        bad += [r["unit"] for r in words.where("clean = 0 AND toxic > 0").where(F.col("unit").rlike(any_mark)).orderBy(F.desc("toxic"), "unit").limit(POSITIVE).collect()]
+        more = words.where("clean = 0 AND toxic > 0").where(F.col("unit").rlike(any_mark)).orderBy(F.desc("toxic"), "unit").limit(POSITIVE).collect()
+        bad |= {r["unit"]: r["toxic"] for r in more}
     common = words.where("clean > 0").orderBy(F.desc("clean"), "unit").limit(NEGATIVE // 3).collect()
     rare = words.where("clean > 0").orderBy(F.xxhash64("unit"), "unit").limit(NEGATIVE - NEGATIVE // 3).collect()
     units.unpersist()
-    bad = list(dict.fromkeys(bad))[:POSITIVE]
-    known = set(bad)
-    good = [w for w in dict.fromkeys(r["unit"] for r in [*common, *rare]) if w not in known]
+    distinct.unpersist()
+    bad = dict(list(bad.items())[:POSITIVE])
+    good = {r["unit"]: r["clean"] for r in [*common, *rare] if r["unit"] not in bad}
     if not bad or not good:
         return None
     machine = train_machine(bad, good)
     for last in (False, True):  # clean documents of the sample show which of their words still look bad
         scored = texts.mapInArrow(_worst(machine), "label int, x array<double>, word string").toArrow()
         y, x = scored["label"].to_numpy(), np.array(scored["x"].to_pylist(), float).reshape(-1, 5)
-        hard = [w for w, v, t in zip(scored["word"].to_pylist(), x[:, 0], y, strict=True) if t == 0 and v > -0.5 and w and w not in known]
+        hard = Counter(w for w, v, t in zip(scored["word"].to_pylist(), x[:, 0], y, strict=True) if t == 0 and v > -0.5 and w and w not in bad)
         if not hard or last:
             break
-        good = list(dict.fromkeys(good + hard[:NEGATIVE]))
+        for w, n in hard.most_common(NEGATIVE):
+            good[w] = good.get(w, 0) + n
         machine = train_machine(bad, good)
     _calibrate(machine, x, y)
     return machine
