@@ -93,7 +93,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     chosen = L.sample(labels, "quality", FOLDS, FOLD, rows)
     got = L.labelled(docs, chosen, id_col, text_col).mapInArrow(run, "label int, x array<double>").toArrow()
-    x = np.array(got["x"].to_pylist(), float).reshape(got.num_rows, -1)
+    x = np.array(got["x"].to_pylist(), float).reshape(got.num_rows, len(statistics("")))
     return fit(x, got["label"].to_numpy())
 
 
@@ -107,7 +107,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([statistics(t.as_py()) for t in b[1]], float).reshape(b.num_rows, -1)
+            x = np.array([statistics(t.as_py()) for t in b[1]], float)
             score = model.score(x) if model and b.num_rows else np.full(b.num_rows, 0.5)
             held = [L.held_out(i, FOLDS, FOLD) for i in b[0].to_pylist()]
             yield pa.RecordBatch.from_arrays([b[0], pa.array(held, pa.bool_()), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
@@ -121,7 +121,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
     @F.pandas_udf("boolean")
     def good(texts):
-        x = np.array([statistics(t) for t in texts], float).reshape(len(texts), -1)
+        x = np.array([statistics(t) for t in texts], float)
         import pandas as pd
 
         return pd.Series(model.score(x) >= 0.5 if model is not None and len(texts) else np.ones(len(texts), bool))

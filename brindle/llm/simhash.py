@@ -131,9 +131,10 @@ def near_links(fps: DataFrame, budget: int = 4) -> DataFrame:
         "trie", "fp", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.least(k, F.col("part")) * F.col("parts") + F.greatest(k, F.col("part")))).alias("cell"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches))
-        if not t.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        t = pa.Table.from_batches(held)
         trie, cell, fp = (t[k].to_numpy() for k in ("trie", "cell", "fp"))
         fp = fp.view(np.uint64)
         order = np.lexsort((fp, cell, trie))

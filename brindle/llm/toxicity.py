@@ -72,7 +72,7 @@ def _norms(n: int, weights: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 
 def kernel(words: list[str], marks: list[str]) -> np.ndarray:
-    """Similarities in [0, 1] of each word to each landmark."""
+    """Similarities of each word to each landmark: about 1 for equal words (more where a triple repeats), 0 without a common triple."""
     code, weight, of = _codes(marks)
     known = np.unique(code)
     table = np.zeros((len(known), len(marks)))
