@@ -4,7 +4,9 @@ Words become a template: numbers, capitalised words and units after a number are
 of five template words are joined by hash with those of the benchmark that have three literal words at least.
 Pairs that share enough of an item's windows are read again: at each alignment the windows must be equal as
 templates, and every value of the item's slots must meet one value of the document's, so a question with
-other numbers or names is caught and a chance meeting of placeholders is not.
+other numbers or names is caught and a chance meeting of placeholders is not. Beside the templates the windows of
+the words themselves are joined, without regard to case, so a verbatim passage is found in whatever case it is
+written; an item of fewer than five words is one window.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.session import stash
+
 WIDTH, LITERALS, SHARE = 5, 3, 0.8
 BROADCAST_WINDOWS = 200_000  # of the benchmark; more are joined by a shuffle
 UNITS = (
@@ -26,27 +30,43 @@ def raw_words(text: str | Column) -> Column:
     return F.regexp_extract_all(F.coalesce(col, F.lit("")), F.lit(r"\p{N}+(?:[.,:/]\p{N}+)*|[\p{L}\p{M}]+"), F.lit(0))
 
 
-def _let(value: str, body: str) -> Column:
-    """body over the variable v, value being computed once: the optimizer can't copy it into body's lambdas."""
-    return F.expr(f"element_at(transform(array({value}), v -> {body}), 1)")
+def _let(value: str, body: str) -> str:
+    """SQL of body over the variable v, value being computed once: the optimizer can't copy it into body's lambdas."""
+    return f"element_at(transform(array({value}), v -> {body}), 1)"
 
 
 def template(words: str) -> Column:
     """The words of an array column with numbers as 0, capitalised words as N, and units after a number as U."""
+    return F.expr(_template(words))
+
+
+def _template(words: str) -> str:
     units = ", ".join(f"'{u}'" for u in UNITS)
     return _let(
         words, f"transform(v, (w, i) -> CASE WHEN w RLIKE '^\\\\p{{N}}' THEN '0' WHEN w RLIKE '^\\\\p{{Lu}}' THEN 'N' "
         f"WHEN w IN ({units}) AND i > 0 AND v[greatest(i - 1, 0)] RLIKE '^\\\\p{{N}}' THEN 'U' ELSE w END)")
 
 
-def _hashes(words: str) -> Column:
-    """Hash of each window of WIDTH words, in order; none for fewer words."""
-    return _let(words, f"CASE WHEN size(v) >= {WIDTH} THEN transform(sequence(1, size(v) - {WIDTH - 1}), i -> xxhash64(slice(v, i, {WIDTH}))) ELSE cast(array() AS array<bigint>) END")
+def _hashes(words: str, width: int = WIDTH, salt: str = "") -> str:
+    """SQL of the hash of each window of width words, in order; none for fewer words."""
+    return _let(words, f"CASE WHEN size(v) >= {width} THEN transform(sequence(1, size(v) - {width - 1}), i -> xxhash64({salt}slice(v, i, {width}))) ELSE cast(array() AS array<bigint>) END")
+
+
+def _folded(words: str, width: int = WIDTH) -> str:
+    """SQL of the hash of each window of width words in one case; never that of a template window."""
+    return _hashes(f"transform({words}, w -> lower(upper(w)))", width, "'verbatim', ")
+
+
+def _verbatim(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """(item_id, n, ipos, h, width) of the verbatim windows of items with a word; n is an item's number of them."""
+    items = benchmark.select(F.col(item_col).alias("item_id"), raw_words(text_col).alias("iraw")).where("size(iraw) > 0").withColumn("width", F.least(F.size("iraw"), F.lit(WIDTH)))
+    hashes = F.expr("CASE width " + " ".join(f"WHEN {k} THEN {_folded('iraw', k)}" for k in range(1, WIDTH + 1)) + " END")
+    return items.withColumn("hs", hashes).select("item_id", F.size("hs").alias("n"), F.posexplode("hs").alias("ipos", "h"), "width")
 
 
 def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     """(item_id, iraw, itpl, windows array<(ipos, h)>, n) of items that have a window."""
-    items = benchmark.select(F.col(item_col).alias("item_id"), raw_words(text_col).alias("iraw")).withColumn("itpl", template("iraw")).withColumn("hs", _hashes("itpl"))
+    items = benchmark.select(F.col(item_col).alias("item_id"), raw_words(text_col).alias("iraw")).withColumn("itpl", template("iraw")).withColumn("hs", F.expr(_hashes("itpl")))
     windows = F.expr(
         f"filter(transform(hs, (h, i) -> named_struct('ipos', i, 'h', h)), x -> "
         f"size(filter(slice(itpl, x.ipos + 1, {WIDTH}), w -> w NOT IN ('0', 'N', 'U'))) >= {LITERALS})")
@@ -57,18 +77,26 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     """(doc_id, item_id, containment, same_values): each document that holds an item, with the item.
 
     A document holds an item if `share` of the item's windows stand in it at alignments whose slots are
-    consistent; same_values tells that no slot has another value. Null or short texts hold nothing, items with
-    no window of three literal words are in no document. Rows that repeat give one row for each id and item;
+    consistent, or `share` of its verbatim windows in any case; same_values tells that no slot has another value or
+    that all verbatim windows stand. Null texts hold nothing; items of fewer than five words, or with no template
+    window of three literal words, are found verbatim only. Rows that repeat give one row for each id and item;
     null ids are reported as null. Other columns are not read.
     """
     items = _items(benchmark, item_col, item_text_col)
-    windows = items.select("item_id", "n", F.explode("windows").alias("x")).select("item_id", "n", "x.ipos", "x.h")
+    verbatim = _verbatim(benchmark, item_col, item_text_col)
+    widths = sorted({WIDTH} | {r["width"] for r in verbatim.select("width").distinct().collect()})
+    windows = items.select("item_id", "n", F.explode("windows").alias("x")).select("item_id", "n", "x.ipos", "x.h", F.lit(False).alias("verbatim"))
+    windows = windows.unionByName(verbatim.select("item_id", "n", "ipos", "h", F.lit(True).alias("verbatim")))
     bounded = windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     fit = F.broadcast if bounded else (lambda df: df)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tkey"), F.col(text_col).alias("text"))
-    seen = rows.withColumn("raw", raw_words("text")).select("doc_id", "tkey", template("raw").alias("tpl")).select("doc_id", "tkey", F.posexplode(_hashes("tpl")).alias("dpos", "h"))
-    hits = seen.join(fit(windows), "h")
-    pairs = hits.groupBy("doc_id", "tkey", "item_id").agg(
+    # Template windows come first, so dpos is right for them; of verbatim windows it isn't used.
+    both = F.expr(_let("raw", f"concat({_hashes(_template('v'))}, {', '.join(_folded('v', k) for k in widths)})"))
+    seen = rows.withColumn("raw", raw_words("text")).select("doc_id", "tkey", F.posexplode(both).alias("dpos", "h"))
+    hits = stash(seen.join(fit(windows), "h"))
+    whole = hits.where("verbatim").groupBy("doc_id", "tkey", "item_id", "n").agg(F.countDistinct("ipos").alias("found")).where(F.col("found") >= share * F.col("n"))
+    whole = whole.select("doc_id", "item_id", (F.col("found") / F.col("n")).alias("containment"), (F.col("found") == F.col("n")).alias("same_values"))
+    pairs = hits.where("NOT verbatim").groupBy("doc_id", "tkey", "item_id").agg(
         F.first("n").alias("n"), F.size(F.collect_set("ipos")).alias("found"), F.collect_set(F.struct("ipos", "dpos")).alias("at")).where(F.col("found") >= share * F.col("n"))
     # Only documents with a candidate are read again.
     pairs = pairs.withColumnsRenamed({"doc_id": "p_id", "tkey": "p_key"})
@@ -87,7 +115,7 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     same = F.expr("forall(slots, s -> s.a = s.b)")
     found = sound.groupBy("doc_id", "tkey", "item_id").agg(
         (F.size(F.array_distinct(F.flatten(F.collect_list("ipos")))) / F.first("n")).alias("containment"), F.max(same).alias("same_values")).where(F.col("containment") >= share)
-    return found.groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"), F.max("same_values").alias("same_values"))
+    return found.select("doc_id", "item_id", "containment", "same_values").unionByName(whole).groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"), F.max("same_values").alias("same_values"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from brindle.llm import simhash
+from brindle.llm import decontaminate, simhash
 
 R = random.Random(5)
 VOCAB = ["".join(R.choice("abcdefgh") for _ in range(R.randint(1, 7))) for _ in range(60)]
@@ -60,3 +60,14 @@ def test_keep_one_against_brute_force(spark):
     got = sorted(r.n for r in simhash.keep_one(docs).collect())
     assert [n for n in got if items[n][0] is not None] == [n for n in want if items[n][0] is not None] and len(got) == len(want)
     assert len(want) < len(items) - 10 and simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_decontamination_in_any_case(spark):
+    item = "A train leaves Boston at 40 km per hour and another leaves Denver at 60 km per hour; when do they meet?"
+    title = "Der Alte Mann Und Das Meer Von Ernest Hemingway 1952"
+    bench = spark.createDataFrame([(1, item), (2, title), (3, "Zwölf Meilen weit"), (4, None), (5, " ...")], "item_id long, text string")
+    texts = [f"{prose(20)} {item.upper()} {prose(9)}", item.lower(), item.title(), f"{prose(9)} {title}", title.lower(), "so ZWÖLF MEILEN WEIT weg", "zwölf weit meilen", prose(60), None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.containment, r.same_values) for r in decontaminate.benchmark_leaks(docs, bench).collect()}
+    assert got == {k: (1.0, True) for k in [(0, 1), (1, 1), (2, 1), (3, 2), (4, 2), (5, 3)]}
+    assert sorted(r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()) == [6, 7, 8]
