@@ -2,7 +2,8 @@
 
 A document is compared with the first document of each of its lines that is in several documents, rare lines
 and common ones alike, so a line in n documents makes n - 1 pairs. Each pair is aligned by patience diff and
-the aligned lines go from the later document.
+the aligned lines go from the later document. Lines that an earlier document holds and that are left are then
+aligned with their further holders, the nearest earlier document first, in rounds until no block aligns.
 """
 
 from __future__ import annotations
@@ -12,14 +13,40 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.session import stash
 
 
+def lcs(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """A longest common subsequence as positions (i, j); the rows of its table are the bits of integers."""
+    at: dict[int, int] = {}
+    for j, x in enumerate(b):
+        at[x] = at.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    table, v = [], full
+    for x in a:
+        u = v & at.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+        table.append(v)
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if table[i - 1] >> (j - 1) & 1:
+            j -= 1
+        else:
+            i -= 1
+            if not i or table[i - 1] >> (j - 1) & 1:
+                j -= 1
+                out.append((i, j))
+    return out[::-1]
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Aligned positions (i, j) of equal items: common ends, then unique common items in longest order, then between."""
+    """Aligned positions (i, j) of equal items: common ends, then unique common items in longest order, then between.
+
+    Where no common item is unique in both, the longest common subsequence; blank lines (0) don't ask for it.
+    """
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -47,6 +74,10 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             anchors.append(pairs[k])
             k = prev[k]
         if not anchors:
+            both = (ca.keys() & cb.keys()) - {0}
+            if both:
+                p, q = [k for k in range(i, m) if a[k] in both], [k for k in range(j, n) if b[k] in both]
+                out += [(p[x], q[y]) for x, y in lcs([a[k] for k in p], [b[k] for k in q])]
             continue
         for x, y in reversed(anchors):
             todo.append((i, x, j, y))
@@ -56,12 +87,15 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _align(least: int):
+def _align(least: int, further: bool = False):
+    """Of further holders only the lines that are left, the others being 0, are aligned."""
+    pair = (lambda mine, other: [(p[x], y) for p in [[k for k, h in enumerate(mine) if h]] for x, y in lcs([mine[k] for k in p], other)]) if further else patience
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             gone = []
             for mine, first in zip(b[2].to_pylist(), b[3].to_pylist(), strict=True):
-                pairs = patience(mine, first)
+                pairs = pair(mine, first)
                 cut, k = [], 0
                 while k < len(pairs):  # blocks: runs that go on in both
                     stop = k + 1
@@ -77,6 +111,35 @@ def _align(least: int):
     return run
 
 
+def _further(lines: DataFrame, firsts: DataFrame, gone: DataFrame, least: int) -> DataFrame:
+    """gone with the lines that align with other holders than the first.
+
+    Every line left goes back along its holders, one a round, so a round makes a row for each line left.
+    """
+    masked = F.expr("transform(hs, (h, i) -> CASE WHEN gone IS NOT NULL AND array_contains(gone, i) THEN 0L ELSE h END)")
+    held = lines.join(gone, ["doc_id", "tkey"], "left").select("doc_id", "tkey", masked.alias("mine"))
+    posts = held.select("doc_id", "tkey", F.explode(F.array_distinct("mine")).alias("h")).where("h <> 0")
+    left = stash(posts.join(firsts, "h").where("f.doc_id < doc_id").select("doc_id", "tkey", "h", F.col("f.doc_id").alias("f_id"), F.col("f.tkey").alias("f_key")))
+    holders = lines.select("doc_id", "tkey", F.explode(F.array_distinct("hs")).alias("h")).join(left.select("h").distinct(), "h").groupBy("h", "doc_id").agg(F.min("tkey").alias("tkey"))
+    by = Window.partitionBy("h").orderBy("doc_id")
+    before = stash(holders.select("h", F.col("doc_id").alias("at"), F.lag("doc_id").over(by).alias("d0"), F.lag("tkey").over(by).alias("k0")))
+    now = left.withColumn("at", F.col("doc_id"))
+    while True:
+        now = stash(now.join(before, ["h", "at"]).where("d0 IS NOT NULL AND NOT (d0 = f_id AND k0 = f_key)"))
+        if now.isEmpty():
+            return gone
+        some = now.groupBy("doc_id", "tkey", "d0", "k0").agg(F.collect_set("h").alias("ask"))
+        own = lines.join(gone, ["doc_id", "tkey"], "left").select("doc_id", "tkey", masked.alias("mine"))
+        other = lines.select(F.col("doc_id").alias("d0"), F.col("tkey").alias("k0"), F.col("hs").alias("first"))
+        both = some.join(own, ["doc_id", "tkey"]).join(other, ["d0", "k0"]).select("doc_id", "tkey", F.expr("transform(mine, h -> CASE WHEN array_contains(ask, h) THEN h ELSE 0L END)").alias("mine"), "first")
+        more = stash(both.mapInArrow(_align(least, True), "doc_id long, tkey long, gone array<int>").where("size(gone) > 0"))
+        if more.isEmpty():
+            return gone
+        gone = stash(gone.unionByName(more).groupBy("doc_id", "tkey").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")))
+        still = lines.join(gone, ["doc_id", "tkey"], "left").select("doc_id", "tkey", F.explode(F.array_distinct(masked)).alias("h")).where("h <> 0")
+        now = now.join(still, ["doc_id", "tkey", "h"], "left_semi").select("doc_id", "tkey", "h", "f_id", "f_key", F.col("d0").alias("at"))
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 1, with_text: bool = False) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_sha256, kept_text?) of every document.
 
@@ -94,6 +157,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     other = lines.select(F.col("doc_id").alias("d0"), F.col("tkey").alias("k0"), F.col("hs").alias("first"))
     both = pairs.join(own, ["doc_id", "tkey"]).join(other, ["d0", "k0"]).select("doc_id", "tkey", "mine", "first")
     gone = both.mapInArrow(_align(least), "doc_id long, tkey long, gone array<int>").where("size(gone) > 0").groupBy("doc_id", "tkey").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    gone = _further(lines, firsts, stash(gone), least)
     full = rows.join(gone, ["doc_id", "tkey"], "left").withColumn("lines", F.split("text", "\n"))
     kept = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(
         F.array_join(F.expr("filter(lines, (x, i) -> NOT array_contains(gone, i))"), "\n"))

@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from brindle.llm import decontaminate, simhash
+from brindle.llm import decontaminate, line_dedup, simhash
 
 R = random.Random(5)
 VOCAB = ["".join(R.choice("abcdefgh") for _ in range(R.randint(1, 7))) for _ in range(60)]
@@ -71,3 +71,23 @@ def test_decontamination_in_any_case(spark):
     got = {(r.doc_id, r.item_id): (r.containment, r.same_values) for r in decontaminate.benchmark_leaks(docs, bench).collect()}
     assert got == {k: (1.0, True) for k in [(0, 1), (1, 1), (2, 1), (3, 2), (4, 2), (5, 3)]}
     assert sorted(r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()) == [6, 7, 8]
+
+
+def test_line_dedup_with_further_holders(spark):
+    texts = ["a\nb\nc", "c\na\nx", "d\na\nb\na\nb", "b\nc\na\nown\na\nb", "p\ns\ns\nq", "r\ns\ns\nt", "x\nd"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.kept_text for r in line_dedup.line_dedup(docs, with_text=True).collect()}
+    assert got[3] == "own" and got[5] == "r\nt" and got[6] == "" and got[0] == texts[0] and got[4] == texts[4]
+
+
+def test_patience_without_unique_lines():
+    assert line_dedup.patience([1, 5, 5, 2], [3, 5, 5, 4]) == [(1, 1), (2, 2)]
+    r = random.Random(9)
+    for _ in range(300):
+        a, b = ([r.randrange(1, 5) for _ in range(r.randrange(14))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        p = line_dedup.lcs(a, b)
+        assert len(p) == best[-1][-1] and all(a[i] == b[j] for i, j in p) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(p, p[1:]))
