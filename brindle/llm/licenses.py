@@ -1,9 +1,9 @@
 """License scan: phrases, and an exact set-similarity join of text blocks with license templates.
 
-Blocks are lines. A template's tokens are ordered by how many documents hold them, rarest first; a block that
+Blocks are windows of the whole text's words, a template's length over the threshold long. A template's tokens are ordered by how many documents hold them, rarest first; a block that
 meets the containment threshold shares one of the template's first |T| - t + 1 tokens, t being the least
-overlap. Blocks without such a token go, then those with too few distinct tokens, then those whose shared
-token stands too late for the overlap still to be reached; the rest is verified. DataFrame functions only.
+overlap. Texts without such a token go, then those with too few of the template's tokens; of the rest each window
+that begins at one of the tokens is verified. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -63,7 +63,7 @@ def prefixes(frequency: dict[str, int], templates=None, threshold: float = THRES
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every document.
 
-    score is 1 where a phrase stands, else the largest containment of a template in a line that meets the
+    score is 1 where a phrase stands, else the largest containment of a template in a window that meets the
     threshold, else 0. Null texts are empty. Rows that repeat an id and a text come back as often; labels of
     rows with one id and other texts stay apart. Other columns are not read.
     """
@@ -73,20 +73,19 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     held = rows.select(F.explode(F.array_intersect(_tokens("text"), F.array(*map(F.lit, vocabulary)))).alias("w"))
     frequency = {r["w"]: r["count"] for r in held.groupBy("w").count().collect()}  # a row a template word
     made = prefixes(frequency, templates, threshold)
-    rank = {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w)))}
-    first = sorted({w for _, _, tokens, _, p in made for w in tokens[:p]})
-    ordered = F.array(*[F.lit(w) for w in sorted(vocabulary, key=rank.get)])
-    blocks = rows.select("doc_id", F.xxhash64("text").alias("tkey"), F.explode(F.split("text", "\n")).alias("block")).select("doc_id", "tkey", _tokens("block").alias("words"))
-    near = blocks.where(F.arrays_overlap("words", F.array(*map(F.lit, first))))
-    # Of a block only template words can be shared; array_intersect with the ordered vocabulary gives them in its order.
-    sets = near.select("doc_id", "tkey", F.size(F.array_distinct("words")).alias("size"), F.array_intersect(ordered, F.col("words")).alias("known"))
+    posts = rows.select("doc_id", F.xxhash64("text").alias("tkey"), F.posexplode(_tokens("text")).alias("p", "w"))
+    posts = posts.join(F.broadcast(spark.createDataFrame([(w,) for w in vocabulary], "w string")), "w")
+    marks = posts.groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_set(F.struct("p", "w"))).alias("marks"))
+    span = {k: math.ceil(len(t[1].split()) / threshold) for k, t in enumerate(templates or TEMPLATES)}
     heads = spark.createDataFrame(
-        [(k, label, tokens, least, w, i) for k, label, tokens, least, p in made for i, w in enumerate(tokens[:p])],
-        "template int, label string, tokens array<string>, least int, w string, i int")
-    found = sets.select("doc_id", "tkey", "size", "known", F.posexplode("known").alias("j", "w")).join(F.broadcast(heads), "w")
-    found = found.where("size >= least").where("least(i, j) + 1 + least(size(tokens) - i - 1, size(known) - j - 1) >= least")
-    share = F.size(F.array_intersect("known", "tokens")) / F.size("tokens")
-    kept = found.select("doc_id", "tkey", "label", "least", F.size(F.array_intersect("known", "tokens")).alias("overlap"), share.alias("share")).where("overlap >= least")
+        [(k, label, tokens, least, tokens[:p], span[k]) for k, label, tokens, least, p in made],
+        "template int, label string, tokens array<string>, least int, head array<string>, span int")
+    found = marks.join(F.broadcast(heads), F.arrays_overlap("marks.w", "head")).withColumn("own", F.expr("filter(marks, x -> array_contains(tokens, x.w))"))
+    found = found.where("size(own) >= least")
+    windows = F.expr("transform(own, (x, k) -> transform(filter(slice(own, k + 1, span), y -> y.p < x.p + span), y -> y.w))")
+    found = found.select("doc_id", "tkey", "label", "least", "tokens", F.explode(windows).alias("held"))
+    overlap = F.size(F.array_intersect("held", "tokens"))
+    kept = found.select("doc_id", "tkey", "label", "least", overlap.alias("overlap"), (overlap / F.size("tokens")).alias("share")).where("overlap >= least")
     more = kept.groupBy("doc_id", "tkey").agg(F.collect_set("label").alias("more"), F.max("share").alias("share")).withColumnsRenamed({"doc_id": "m_id", "tkey": "m_key"})
 
     text = F.col("text")
