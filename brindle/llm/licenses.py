@@ -15,6 +15,19 @@ from pyspark.sql import functions as F
 
 OTHER = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 WORD = f"[^{OTHER}]+"
+#: Words that a window must hold, and must not, to be of a short template's license.
+DISTINCT = {
+    "released under the mit license": ("mit", ""),
+    "licensed under the apache license version 2 0": ("apache 2", ""),
+    "licensed under the bsd 3 clause license": ("bsd 3", ""),
+    "licensed under the gnu general public license version 3": ("gnu 3", "lesser affero"),
+    "licensed under the gnu general public license version 2": ("gnu 2", "lesser affero"),
+    "licensed under the gnu lesser general public license version 3": ("lesser 3", ""),
+    "this source code form is subject to the terms of the mozilla public license v 2 0": ("mozilla 2", ""),
+    "licensed under cc by nc 4 0": ("cc nc", ""),
+    "licensed under cc by sa 4 0": ("cc sa", "nc"),
+    "this work is licensed under a creative commons attribution 4 0 international license": ("attribution", "noncommercial sharealike noderivatives nc sa nd"),
+}
 PHRASES = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
 THRESHOLD = 0.8
 #: The least that lines with a license say; distinct words of each are its set.
@@ -69,7 +82,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    vocabulary = sorted({w for _, t in templates or TEMPLATES for w in t.split()})
+    vocabulary = sorted({w for _, t in templates or TEMPLATES for w in t.split()} | {w for _, out in DISTINCT.values() for w in out.split()})
     held = rows.select(F.explode(F.array_intersect(_tokens("text"), F.array(*map(F.lit, vocabulary)))).alias("w"))
     frequency = {r["w"]: r["count"] for r in held.groupBy("w").count().collect()}  # a row a template word
     made = prefixes(frequency, templates, threshold)
@@ -78,12 +91,13 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marks = posts.groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_set(F.struct("p", "w"))).alias("marks"))
     span = {k: math.ceil(len(t[1].split()) / threshold) for k, t in enumerate(templates or TEMPLATES)}
     heads = spark.createDataFrame(
-        [(k, label, tokens, least, tokens[:p], span[k]) for k, label, tokens, least, p in made],
-        "template int, label string, tokens array<string>, least int, head array<string>, span int")
-    found = marks.join(F.broadcast(heads), F.arrays_overlap("marks.w", "head")).withColumn("own", F.expr("filter(marks, x -> array_contains(tokens, x.w))"))
+        [(k, label, tokens, least, tokens[:p], span[k], *(x.split() for x in DISTINCT.get((templates or TEMPLATES)[k][1], ("", "")))) for k, label, tokens, least, p in made],
+        "template int, label string, tokens array<string>, least int, head array<string>, span int, need array<string>, bar array<string>")
+    found = marks.join(F.broadcast(heads), F.arrays_overlap("marks.w", "head")).withColumn("own", F.expr("filter(marks, x -> array_contains(tokens, x.w) OR array_contains(bar, x.w))"))
     found = found.where("size(own) >= least")
     windows = F.expr("transform(own, (x, k) -> transform(filter(slice(own, k + 1, span), y -> y.p < x.p + span), y -> y.w))")
-    found = found.select("doc_id", "tkey", "label", "least", "tokens", F.explode(windows).alias("held"))
+    found = found.select("doc_id", "tkey", "label", "least", "tokens", "need", "bar", F.explode(windows).alias("held"))
+    found = found.where("size(array_except(need, held)) = 0 AND NOT arrays_overlap(bar, held)")
     overlap = F.size(F.array_intersect("held", "tokens"))
     kept = found.select("doc_id", "tkey", "label", "least", overlap.alias("overlap"), (overlap / F.size("tokens")).alias("share")).where("overlap >= least")
     more = kept.groupBy("doc_id", "tkey").agg(F.collect_set("label").alias("more"), F.max("share").alias("share")).withColumnsRenamed({"doc_id": "m_id", "tkey": "m_key"})
