@@ -107,7 +107,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     count = {k: F.when(hint, F.regexp_count(text, F.lit(_phrase(p)))).otherwise(0).cast("long") for k, p in PHRASES.items()}
     base = rows.withColumn("tkey", F.xxhash64("text")).withColumn("n_words", _words_in(text)).withColumns({f"n_{k}": c for k, c in count.items()})
     n_base = sum((F.col(f"`n_{k}`") for k in PHRASES), F.lit(0).cast("long"))
-    starts = [F.when(F.col(f"`n_{k}`") > 0, _words_in(F.substring(text, F.lit(1), F.regexp_instr(text, F.lit(_phrase(p))) - 1))) for k, p in PHRASES.items()]
+    starts = [F.when(F.col(f"`n_{k}`") > 0, _words_in(F.regexp_extract(text, "(?s)^(.*?)" + _phrase(p), 1))) for k, p in PHRASES.items()]
     ends = [F.when(F.col(f"`n_{k}`") > 0, _words_in(F.regexp_extract(text, "(?s)^(.*)" + _phrase(p), 1))) for k, p in PHRASES.items()]
     labels = F.array_compact(F.array(*[F.when(F.col(f"`n_{k}`") > 0, F.lit(k)) for k in PHRASES]))
     base = base.select("doc_id", "tkey", "n_words", n_base.alias("n_base"), F.least(*starts).alias("first_word"), F.greatest(*ends).alias("last_word"), labels.alias("own"))

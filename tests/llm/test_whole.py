@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from brindle.llm import decontaminate, line_dedup, simhash
+from brindle.llm import decontaminate, licenses, line_dedup, simhash
 
 R = random.Random(5)
 VOCAB = ["".join(R.choice("abcdefgh") for _ in range(R.randint(1, 7))) for _ in range(60)]
@@ -91,3 +91,13 @@ def test_patience_without_unique_lines():
                 best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
         p = line_dedup.lcs(a, b)
         assert len(p) == best[-1][-1] and all(a[i] == b[j] for i, j in p) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(p, p[1:]))
+
+
+def test_licenses_exactly(spark):
+    text = [("This work is licensed under the GNU General Public License, version 3.", "gpl-3"), ("Licensed under the GNU Lesser General Public License, version 3.", "lgpl-3"), ("Licensed under CC BY-NC 4.0.", "cc-by-nc"), ("Licensed under CC BY-SA 4.0.", "cc-by-sa"),
+            ("Released under the BSD License.", ""), ("Licensed under CC BY 4.0.", ""), ("Released under the MIT License.", "mit"), (f"licensed {prose(40)} under the {prose(40)} gnu general public license version 3", ""),
+            ("x\nPermission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles (the \"Software\"), to deal in the Software without restriction,\nincluding", "mit")]
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(text)] + [(99, "🙂🙂🙂🙂🙂🙂 x under the mit license")], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.license_scan(docs).collect()}
+    assert [got[k].labels for k in range(len(text))] == [label for _, label in text]
+    assert got[99].first_word == 1 + len(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "🙂🙂🙂🙂🙂🙂"))
