@@ -88,7 +88,7 @@ class Trie:
                 if len(self.best) > NODES:
                     self.clear()
                     count = self.count
-                for w in set(words) - count.keys():
+                for w in {w for w in words if w not in count}:  # a set less a view would walk the whole view
                     self.insert(w)
         raise AssertionError
 
