@@ -12,7 +12,6 @@ their tries hold nearly all pairs. So it joins the sets themselves, by prefixes,
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,20 +20,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.rows import ASCII_LOWER, carry_out, join_counted, text_key
+from brindle.llm.similar import similar_links
 from brindle.operators.graph import connected_components
 from brindle.session import stash
 
 BITS = 64
 CELL = 20_000  # distinct fingerprints of one block's value that one task takes at a time; more are dealt in cells
 FRONTIER = 500_000
-SAMPLE, COMMON = 20_000, 100_000  # about so many documents show which shingles are frequent; at most so many of these
 _ONES = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)  # of each byte, low bit first
-_ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     """The SimHash of word shingles; zero for a text without words."""
-    words = (text or "").encode().translate(_ASCII_LOWER).split()
+    words = (text or "").encode().translate(ASCII_LOWER).split()
     if not words:
         return 0
     if len(words) <= width:
@@ -61,7 +60,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(x.as_py(), width, seed) for x in b[1]], np.uint64)
             yield pa.RecordBatch.from_arrays([b[0], pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def trie_links(tries: np.ndarray, fps: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -156,137 +155,37 @@ def near_links(fps: DataFrame, budget: int = 4) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 4, width: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document.
 
-    Null, empty and blank texts have fingerprint zero and link like others. Null ids form no class id (a class
-    of such rows alone has null). Repeated rows share their class. Other columns are not read.
+    Null, empty and blank texts have fingerprint zero and link like others; very long texts are read whole. Null ids
+    form no class id (a class of such rows alone has null). Repeated rows and ties share their class. No rows give
+    none. Other columns are not read, whatever their names.
     """
     rows = stash(fingerprints(docs, id_col, text_col, width, seed))
-    fps = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    fps = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")))
     nodes = connected_components(near_links(fps.select("fp"), budget))
-    roots = fps.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lows = roots.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = roots.join(lows, "root").select("fp", "component_id")
-    return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def shingles(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles; a shorter text is one shingle, a text without words has none."""
-    words = (text or "").encode().translate(_ASCII_LOWER).split()
-    if not words:
-        return np.empty(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(b" ".join(words[k : k + width]), seed) for k in range(max(1, len(words) - width + 1))], np.uint64))
-
-
-def _set_key(held: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(held.tobytes())).view(np.int64))
-
-
-def _common(docs: DataFrame, text_col: str, width: int, at_least: int = 20) -> np.ndarray:
-    """Shingles of several of some documents, the most frequent last. They only order the shingles, so any result is right."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            held = [shingles(x.as_py(), width) for x in b[0]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held or [np.empty(0, np.uint64)]).view(np.int64))], names=["h"])
-
-    few = docs.select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(max(1, docs.count() // SAMPLE))) == 0)
-    often = few.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= at_least).orderBy(F.desc("count"), "h").limit(COMMON).collect()
-    return np.array([r["h"] for r in reversed(often)], np.int64).view(np.uint64)
-
-
-def similar_links(docs: DataFrame, text_col: str = "text", width: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(rows, links): rows (doc_id, tkey, fp) with fp the hash of a text's shingle set, and links (u, v) of sets.
-
-    The links connect all sets of a Jaccard similarity of least or more. Of shingles in one order, rare first, two such
-    sets share one of the first n - ceil(least * n) + 1. A first round compares each set with one set of each of these
-    shingles, so large groups hang together; the second all others of the same shingle that don't hang together yet.
-    docs: doc_id, tkey and the text.
-    """
-    rank = _common(docs, text_col, width)
-    order = np.argsort(rank)
-    sorted_rank = rank[order]
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            held = [shingles(x.as_py(), width) for x in b[2]]
-            heads = []
-            for h in held:
-                place = np.zeros(len(h), np.int64)
-                if len(rank):
-                    k = np.minimum(np.searchsorted(sorted_rank, h), len(rank) - 1)
-                    place = np.where(sorted_rank[k] == h, order[k] + 1, 0)
-                n = len(h)
-                heads.append(h[np.lexsort((h, place))][: n - math.ceil(least * n - 1e-9) + 1 if n else 0].view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [b[0], b[1], pa.array([_set_key(h) for h in held], pa.int64()), pa.array([len(h) for h in held], pa.int32()), pa.array(heads, pa.list_(pa.int64()))],
-                names=["doc_id", "tkey", "fp", "n", "heads"])
-
-    held = stash(docs.select("doc_id", "tkey", text_col).mapInArrow(sets, "doc_id long, tkey long, fp long, n int, heads array<long>"))
-    posts = held.dropDuplicates(["fp"]).select("fp", "n", F.posexplode("heads").alias("i", "h"))
-    groups = stash(posts.groupBy("h").agg(F.collect_list(F.struct("fp", "n", "i")).alias("m")).where("size(m) > 1"))
-
-    # The sets of documents with a candidate, read again.
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kept = [h.tobytes() for h in (shingles(x.as_py(), width) for x in b[1])]
-            yield pa.RecordBatch.from_arrays([b[0], pa.array(kept, pa.binary())], names=["fp", "held"])
-
-    some = groups.select(F.explode("m.fp").alias("fp")).distinct()
-    texts = held.select("doc_id", "tkey", "fp").join(some, "fp").groupBy("fp").agg(F.min(F.struct("doc_id", "tkey")).alias("of")).select("fp", F.col("of.doc_id").alias("o_id"), F.col("of.tkey").alias("o_key"))
-    found = docs.join(texts, F.col("doc_id").eqNullSafe(F.col("o_id")) & (F.col("tkey") == F.col("o_key"))).select("fp", text_col)
-    bags = stash(found.mapInArrow(again, "fp long, held binary").dropDuplicates(["fp"]))
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            true = []
-            for x, y in zip(b[2], b[3]):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                true.append(both >= least * (len(p) + len(q) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([b[0], b[1]], names=["u", "v"]).filter(pa.array(true, pa.bool_()))
-
-    def true(pairs: DataFrame) -> DataFrame:
-        left, right = bags.select(F.col("fp").alias("u"), F.col("held").alias("a")), bags.select(F.col("fp").alias("v"), F.col("held").alias("b"))
-        return stash(pairs.distinct().join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(check, "u long, v long"))
-
-    def pairs(comps: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                out = [np.empty((2, 0), np.int64)]
-                for m in b[0]:
-                    t = m.values
-                    fp, n, i = (t.field(k).to_numpy().astype(np.int64) for k in ("fp", "n", "i"))
-                    root = t.field("root").to_numpy() if comps else np.arange(len(fp))
-                    for x in range(len(fp) - 1) if comps else [int(fp.argmin())]:
-                        y = np.arange(x + 1 if comps else 0, len(fp))
-                        # Lengths, and what can still be shared from the common place on.
-                        most = np.minimum(i[x], i[y]) + np.minimum(n[x] - i[x], n[y] - i[y])
-                        y = y[(root[y] != root[x]) & (most * (1 + least) >= least * (n[x] + n[y]) - 1e-6)]
-                        if len(y):
-                            out.append(np.stack([np.minimum(fp[x], fp[y]), np.maximum(fp[x], fp[y])]))
-                u, v = np.concatenate(out, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-        return run
-
-    first = true(groups.select("m").mapInArrow(pairs(False), "u long, v long"))
-    nodes = connected_components(first)
-    members = groups.select("h", F.explode("m").alias("x")).select("h", "x.*").join(nodes.withColumnRenamed("node", "fp"), "fp", "left")
-    members = members.groupBy("h").agg(F.collect_list(F.struct("fp", "n", "i", F.coalesce("root", "fp").alias("root"))).alias("m")).where("size(array_distinct(m.root)) > 1")
-    second = true(members.select("m").mapInArrow(pairs(True), "u long, v long"))
-    return held.select("doc_id", "tkey", "fp"), first.unionByName(second)
+    roots = stash(fps.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    lows = roots.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("size"))
+    of = stash(join_counted(roots, lows, ["root"], "size", F.col("fp"), "inner").select("fp", "component_id", "n"))
+    found = join_counted(rows, of, ["fp"], "n", F.col("doc_id"), "inner")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
-    """One document of each group of texts linked by a Jaccard similarity of `least` or more. All columns stay.
+    """One row of each group of texts linked by a Jaccard similarity of `least` or more, with all its columns.
 
-    Shingles are of `width` words. The document with the smallest id stays, one without an id only where none has
-    one. Texts without words are alike. Rows that repeat both id and text share the verdict.
+    Shingles are of `width` words; a shorter text is one shingle, texts without words, null ones too, are alike, and
+    very long texts are read whole. The row with the smallest id stays, one without an id only where none has one. A
+    verdict holds for a row: rows that share an id but not the text don't fall together. Where rows tie on the id the
+    smallest text hash stays, and of rows that repeat id and text one. No rows give none. Other columns may have any
+    name.
     """
-    tkey = F.xxhash64(text_col)
-    rows, links = similar_links(docs.select(F.col(id_col).cast("long").alias("doc_id"), tkey.alias("tkey"), F.col(text_col).alias("text")), "text", width, least)
-    roots = rows.join(connected_components(links).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    text = F.col(f"`{text_col}`")
+    rows, links = similar_links(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_key(text).alias("tkey"), text.alias("text")), width, least)
+    sets = stash(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
+    roots = stash(sets.join(connected_components(links).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    wide = roots.groupBy("root").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("sets")).where("size > 1")
+    some = join_counted(roots, wide.select("root", F.col("sets").alias("size")), ["root"], "size", F.col("fp"), "inner").select("fp", "root", "n")
+    met = stash(join_counted(rows, some, ["fp"], "n", F.struct("doc_id", "tkey"), "inner").groupBy("root", "doc_id", "tkey").agg(F.count(F.lit(1)).alias("n")))
     me = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")
-    lows = roots.groupBy("root").agg(F.min(me).alias("low"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    drop = roots.join(lows, "root").where(me != F.col("low")).select(F.col("doc_id").alias("__id"), F.col("tkey").alias("__key")).distinct()
-    return docs.join(drop, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (tkey == F.col("__key")), "left_anti")
+    lows = met.groupBy("root").agg(F.min(me).alias("low"), F.count(F.lit(1)).alias("size"))
+    told = join_counted(met, lows, ["root"], "size", F.struct("doc_id", "tkey"), "inner").select("doc_id", "tkey", (me != F.col("low")).alias("gone"), "n")
+    return carry_out(docs, told.where("gone OR n > 1").drop("n"), id_col, text_col)
