@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.rows import carry_out, text_key
 from brindle.session import stash
 
 WIDTH, LITERALS, SHARE = 5, 3, 0.8
@@ -78,10 +79,17 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 
     A document holds an item if `share` of the item's windows stand in it at alignments whose slots are
     consistent, or `share` of its verbatim windows in any case; same_values tells that no slot has another value or
-    that all verbatim windows stand. Null texts hold nothing; items of fewer than five words, or with no template
-    window of three literal words, are found verbatim only. Rows that repeat give one row for each id and item;
-    null ids are reported as null. Other columns are not read.
+    that all verbatim windows stand. Null and empty texts hold nothing, very long ones are read whole; items of fewer
+    than five words, or with no template window of three literal words, are found verbatim only. Rows that repeat, and
+    rows of one id that hold the same item, give one row for each id and item, the largest values; null ids are
+    reported as null. No documents or no items give no rows. Other columns are not read, whatever their names.
     """
+    found = _leaks(docs, benchmark, id_col, text_col, item_col, item_text_col, share)
+    return found.groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"), F.max("same_values").alias("same_values"))
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str = "item_id", item_text_col: str = "text", share: float = SHARE) -> DataFrame:
+    """(doc_id, tkey, item_id, containment, same_values), several rows a document and item perhaps."""
     items = _items(benchmark, item_col, item_text_col)
     verbatim = _verbatim(benchmark, item_col, item_text_col)
     widths = sorted({WIDTH} | {r["width"] for r in verbatim.select("width").distinct().collect()})
@@ -89,17 +97,19 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     windows = windows.unionByName(verbatim.select("item_id", "n", "ipos", "h", F.lit(True).alias("verbatim")))
     bounded = windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     fit = F.broadcast if bounded else (lambda df: df)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tkey"), F.col(text_col).alias("text"))
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_key(text).alias("tkey"), text.alias("text"))
     # Template windows come first, so dpos is right for them; of verbatim windows it isn't used.
     both = F.expr(_let("raw", f"concat({_hashes(_template('v'))}, {', '.join(_folded('v', k) for k in widths)})"))
     seen = rows.withColumn("raw", raw_words("text")).select("doc_id", "tkey", F.posexplode(both).alias("dpos", "h"))
     hits = stash(seen.join(fit(windows), "h"))
     whole = hits.where("verbatim").groupBy("doc_id", "tkey", "item_id", "n").agg(F.countDistinct("ipos").alias("found")).where(F.col("found") >= share * F.col("n"))
-    whole = whole.select("doc_id", "item_id", (F.col("found") / F.col("n")).alias("containment"), (F.col("found") == F.col("n")).alias("same_values"))
+    whole = whole.select("doc_id", "tkey", "item_id", (F.col("found") / F.col("n")).alias("containment"), (F.col("found") == F.col("n")).alias("same_values"))
     pairs = hits.where("NOT verbatim").groupBy("doc_id", "tkey", "item_id").agg(
         F.first("n").alias("n"), F.size(F.collect_set("ipos")).alias("found"), F.collect_set(F.struct("ipos", "dpos")).alias("at")).where(F.col("found") >= share * F.col("n"))
-    # Only documents with a candidate are read again.
-    pairs = pairs.withColumnsRenamed({"doc_id": "p_id", "tkey": "p_key"})
+    # Only documents with a candidate are read again; the candidates are written first, so that the planner knows their
+    # size and doesn't shuffle the texts where they are few.
+    pairs = stash(pairs.withColumnsRenamed({"doc_id": "p_id", "tkey": "p_key"}))
     again = rows.join(pairs, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("tkey") == F.col("p_key"))).drop("p_id", "p_key")
     full = again.join(fit(items.select("item_id", "iraw", "itpl")), "item_id").withColumn("draw", raw_words("text")).withColumn("dtpl", template("draw"))
     cut = F.expr(
@@ -115,10 +125,15 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     same = F.expr("forall(slots, s -> s.a = s.b)")
     found = sound.groupBy("doc_id", "tkey", "item_id").agg(
         (F.size(F.array_distinct(F.flatten(F.collect_list("ipos")))) / F.first("n")).alias("containment"), F.max(same).alias("same_values")).where(F.col("containment") >= share)
-    return found.select("doc_id", "item_id", "containment", "same_values").unionByName(whole).groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"), F.max("same_values").alias("same_values"))
+    return found.select("doc_id", "tkey", "item_id", "containment", "same_values").unionByName(whole)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that hold a benchmark item; all columns as they were."""
-    bad = benchmark_leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("__drop"), "left_anti")
+    """docs without the rows whose text holds a benchmark item, with all columns as they were.
+
+    A verdict holds for a row: rows that share an id but not the text don't fall together, and rows without an id fall
+    by their text. All of repeated rows fall or stay. Null and empty texts stay. No rows give none, an empty benchmark
+    gives all. Other columns may have any name.
+    """
+    bad = _leaks(docs, benchmark, id_col, text_col).select("doc_id", "tkey", F.lit(True).alias("gone")).distinct()
+    return carry_out(docs, bad, id_col, text_col)
