@@ -1,9 +1,9 @@
 """Line dedup by pairwise alignment.
 
-A document is compared with the first document of each of its lines that is in several documents, rare lines
-and common ones alike, so a line in n documents makes n - 1 pairs. Each pair is aligned by patience diff and
-the aligned lines go from the later document. Lines that an earlier document holds and that are left are then
-aligned with their further holders, the nearest earlier document first, in rounds until no block aligns.
+Documents that share a rare line, one that at most RARE rows hold, are a pair. A pair is aligned by patience diff over
+the rare lines that both hold, and aligned lines go from the document with the larger id. Every pair is aligned, so no
+holder is passed over. Pairs by a common line would be all pairs of its holders; a common line is a block of its own
+instead and stays only with its smallest holder.
 """
 
 from __future__ import annotations
@@ -12,12 +12,17 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.rows import join_counted, text_key
 from brindle.session import stash
 
+RARE = 16  # rows that hold a rare line at most
+
 
 def lcs(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """A longest common subsequence as positions (i, j); the rows of its table are the bits of integers."""
@@ -45,7 +50,7 @@ def lcs(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned positions (i, j) of equal items: common ends, then unique common items in longest order, then between.
 
-    Where no common item is unique in both, the longest common subsequence; blank lines (0) don't ask for it.
+    Where no common item is unique in both, the longest common subsequence.
     """
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
@@ -74,7 +79,7 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             anchors.append(pairs[k])
             k = prev[k]
         if not anchors:
-            both = (ca.keys() & cb.keys()) - {0}
+            both = ca.keys() & cb.keys()
             if both:
                 p, q = [k for k in range(i, m) if a[k] in both], [k for k in range(j, n) if b[k] in both]
                 out += [(p[x], q[y]) for x, y in lcs([a[k] for k in p], [b[k] for k in q])]
@@ -87,81 +92,61 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _align(least: int, further: bool = False):
-    """Of further holders only the lines that are left, the others being 0, are aligned."""
-    pair = (lambda mine, other: [(p[x], y) for p in [[k for k, h in enumerate(mine) if h]] for x, y in lcs([mine[k] for k in p], other)]) if further else patience
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            gone = []
-            for mine, first in zip(b[2].to_pylist(), b[3].to_pylist(), strict=True):
-                pairs = pair(mine, first)
-                cut, k = [], 0
-                while k < len(pairs):  # blocks: runs that go on in both
-                    stop = k + 1
-                    while stop < len(pairs) and pairs[stop] == (pairs[stop - 1][0] + 1, pairs[stop - 1][1] + 1):
-                        stop += 1
-                    block = [i for i, _ in pairs[k:stop] if mine[i]]
-                    if len(block) >= least:
-                        cut += block
-                    k = stop
-                gone.append(cut)
-            yield pa.RecordBatch.from_arrays([b[0], b[1], pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "tkey", "gone"])
-
-    return run
-
-
-def _further(lines: DataFrame, firsts: DataFrame, gone: DataFrame, least: int) -> DataFrame:
-    """gone with the lines that align with other holders than the first.
-
-    Every line left goes back along its holders, one a round, so a round makes a row for each line left.
-    """
-    masked = F.expr("transform(hs, (h, i) -> CASE WHEN gone IS NOT NULL AND array_contains(gone, i) THEN 0L ELSE h END)")
-    held = lines.join(gone, ["doc_id", "tkey"], "left").select("doc_id", "tkey", masked.alias("mine"))
-    posts = held.select("doc_id", "tkey", F.explode(F.array_distinct("mine")).alias("h")).where("h <> 0")
-    left = stash(posts.join(firsts, "h").where("f.doc_id < doc_id").select("doc_id", "tkey", "h", F.col("f.doc_id").alias("f_id"), F.col("f.tkey").alias("f_key")))
-    holders = lines.select("doc_id", "tkey", F.explode(F.array_distinct("hs")).alias("h")).join(left.select("h").distinct(), "h").groupBy("h", "doc_id").agg(F.min("tkey").alias("tkey"))
-    by = Window.partitionBy("h").orderBy("doc_id")
-    before = stash(holders.select("h", F.col("doc_id").alias("at"), F.lag("doc_id").over(by).alias("d0"), F.lag("tkey").over(by).alias("k0")))
-    now = left.withColumn("at", F.col("doc_id"))
-    while True:
-        now = stash(now.join(before, ["h", "at"]).where("d0 IS NOT NULL AND NOT (d0 = f_id AND k0 = f_key)"))
-        if now.isEmpty():
-            return gone
-        some = now.groupBy("doc_id", "tkey", "d0", "k0").agg(F.collect_set("h").alias("ask"))
-        own = lines.join(gone, ["doc_id", "tkey"], "left").select("doc_id", "tkey", masked.alias("mine"))
-        other = lines.select(F.col("doc_id").alias("d0"), F.col("tkey").alias("k0"), F.col("hs").alias("first"))
-        both = some.join(own, ["doc_id", "tkey"]).join(other, ["d0", "k0"]).select("doc_id", "tkey", F.expr("transform(mine, h -> CASE WHEN array_contains(ask, h) THEN h ELSE 0L END)").alias("mine"), "first")
-        more = stash(both.mapInArrow(_align(least, True), "doc_id long, tkey long, gone array<int>").where("size(gone) > 0"))
-        if more.isEmpty():
-            return gone
-        gone = stash(gone.unionByName(more).groupBy("doc_id", "tkey").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")))
-        still = lines.join(gone, ["doc_id", "tkey"], "left").select("doc_id", "tkey", F.explode(F.array_distinct(masked)).alias("h")).where("h <> 0")
-        now = now.join(still, ["doc_id", "tkey", "h"], "left_semi").select("doc_id", "tkey", "h", "f_id", "f_key", F.col("d0").alias("at"))
-
-
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 1, with_text: bool = False) -> DataFrame:
+def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, doc_id, tkey, at): of each document's distinct lines the 128-bit hash and the places."""
+    for b in batches:
+        digests, owner, places = [], [], []
+        for k, text in enumerate(b[2]):
+            at: dict[bytes, list[int]] = {}
+            for i, line in enumerate(text.as_py().encode().split(b"\n")):
+                if line := line.strip():
+                    at.setdefault(line, []).append(i)
+            digests += map(xxhash.xxh128_digest, at)
+            owner += [k] * len(at)
+            places += at.values()
+        key = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+        of = pa.array(owner, pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), b[0].take(of), b[1].take(of), pa.array(places, pa.list_(pa.int32()))], names=["a", "b", "doc_id", "tkey", "at"])
+
+
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The places of a later document's lines that align with an earlier one's."""
+    for b in batches:
+        gone = []
+        for lines in b[2].to_pylist():
+            mine = sorted((i, k) for k, x in enumerate(lines) for i in x["mine"])
+            first = sorted((j, k) for k, x in enumerate(lines) for j in x["first"])
+            gone.append([mine[i][0] for i, _ in patience([k for _, k in mine], [k for _, k in first])])
+        yield pa.RecordBatch.from_arrays([b[0], b[1], pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "tkey", "gone"])
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, rare: int = RARE) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_sha256, kept_text?) of every document.
 
-    Lines are compared without outer white space; blank ones stay and mark nothing. A block of `least` aligned
-    lines or more goes from the document with the larger id. Null texts have no lines, an empty text one. Rows
-    with a null id stay whole; rows that repeat an id are not compared with each other. Other columns are not read.
+    Lines end at a line feed and are compared without outer ASCII white space; lines of nothing else stay and mark
+    nothing. A document loses a line that more than `rare` rows hold if one of them has a smaller id, and a rarer line
+    if it aligns with that of any document with a smaller id. Null texts have no lines, an empty text one. Rows with a
+    null id lose nothing and make nothing lose. Rows that repeat an id are not compared with each other and are judged
+    by their own texts; repeated rows have equal results. Very long texts are read whole. No rows give none. Other
+    columns are not read, whatever their names.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tkey"), F.col(text_col).alias("text"))
-    key = lambda line: F.when(F.trim(line) == "", F.lit(0).cast("long")).otherwise(F.xxhash64(F.regexp_replace(line, r"^\s+|\s+$", "")))
-    lines = stash(rows.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "tkey", F.transform(F.split("text", "\n"), key).alias("hs")).dropDuplicates(["doc_id", "tkey"]))
-    posts = lines.select("doc_id", "tkey", F.explode(F.array_distinct("hs")).alias("h")).where("h <> 0")
-    firsts = posts.groupBy("h").agg(F.min(F.struct("doc_id", "tkey")).alias("f"), F.max("doc_id").alias("last")).where("f.doc_id < last")
-    pairs = posts.join(firsts, "h").where("f.doc_id < doc_id").select("doc_id", "tkey", F.col("f.doc_id").alias("d0"), F.col("f.tkey").alias("k0")).distinct()
-    own = lines.select("doc_id", "tkey", F.col("hs").alias("mine"))
-    other = lines.select(F.col("doc_id").alias("d0"), F.col("tkey").alias("k0"), F.col("hs").alias("first"))
-    both = pairs.join(own, ["doc_id", "tkey"]).join(other, ["d0", "k0"]).select("doc_id", "tkey", "mine", "first")
-    gone = both.mapInArrow(_align(least), "doc_id long, tkey long, gone array<int>").where("size(gone) > 0").groupBy("doc_id", "tkey").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
-    gone = _further(lines, firsts, stash(gone), least)
-    full = rows.join(gone, ["doc_id", "tkey"], "left").withColumn("lines", F.split("text", "\n"))
-    kept = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(
-        F.array_join(F.expr("filter(lines, (x, i) -> NOT array_contains(gone, i))"), "\n"))
-    full = full.withColumn("kept_text", kept)
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_key(text).alias("tkey"), text.alias("text"))
+    holders = stash(rows.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_holders, "a long, b long, doc_id long, tkey long, at array<int>"))
+    lines = stash(holders.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").withColumn("size", F.col("n")))
+    met = stash(join_counted(holders, lines.drop("high"), ["a", "b"], "size", F.struct("doc_id", "tkey"), "inner"))
+    common = met.where((F.col("n") > rare) & (F.col("doc_id") > F.col("low"))).select("doc_id", "tkey", F.col("at").alias("gone"))
+    groups = met.where(F.col("n") <= rare).groupBy("a", "b").agg(F.collect_set(F.struct("doc_id", "tkey", "at")).alias("m"))  # of `rare` at most
+    pairs = groups.select("m", F.explode("m").alias("x")).select("x", F.explode(F.filter("m", lambda y: y["doc_id"] < F.col("x.doc_id"))).alias("y"))
+    pairs = pairs.groupBy("x.doc_id", "x.tkey", F.col("y.doc_id").alias("d0"), F.col("y.tkey").alias("k0")).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("x.at").alias("mine"), F.col("y.at").alias("first")))).alias("lines"))
+    aligned = pairs.select("doc_id", "tkey", "lines").mapInArrow(_align, "doc_id long, tkey long, gone array<int>").where("size(gone) > 0")
+    gone = stash(common.unionByName(aligned).groupBy("doc_id", "tkey").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")))
+    full = rows.join(gone, ["doc_id", "tkey"], "left")
+    cut = F.expr("element_at(transform(array(named_struct('l', split(text, '\n'), 'g', gone)), v -> array_join(transform(array_except(sequence(0, size(v.l) - 1), v.g), i -> v.l[i]), '\n')), 1)")
+    full = full.withColumn("kept_text", F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(cut))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit("\n")) + 1)
     return full.select(
-        "doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
-        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"), *(["kept_text"] if with_text else []))
+        "doc_id", n_lines.cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
+        F.sha2("kept_text", 256).alias("kept_sha256"), *(["kept_text"] if with_text else []))
