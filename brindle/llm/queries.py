@@ -78,6 +78,7 @@ r AS (SELECT a.doc_id, count(*) AS n, count(c.p) AS gone, string_agg(word, ' ' O
       FROM a LEFT JOIN c ON a.doc_id = c.doc_id AND a.p = c.p GROUP BY a.doc_id)
 SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN r USING (doc_id)""",
+    "op7_licenses": licenses.oracle(),
     "op10_exact_dedup": rf"""
 WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{_SPACE}', ' ', 'g')) AS d FROM documents),
 g AS (SELECT d, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY d)
