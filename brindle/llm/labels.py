@@ -26,5 +26,5 @@ def sample(labels: DataFrame, label: str, folds: int, fold: int, rows: int) -> D
 
 def labelled(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text, label); the chosen rows are bounded, so they are broadcast."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")

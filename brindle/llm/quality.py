@@ -112,7 +112,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             held = [L.held_out(i, FOLDS, FOLD) for i in b[0].to_pylist()]
             yield pa.RecordBatch.from_arrays([b[0], pa.array(held, pa.bool_()), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,4 +126,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
         return pd.Series(model.score(x) >= 0.5 if model is not None and len(texts) else np.ones(len(texts), bool))
 
-    return docs.where(good(F.col(text_col)))
+    return docs.where(good(F.col(f"`{text_col}`")))

@@ -1,14 +1,16 @@
 """Toxicity by a support vector machine with a subsequence string kernel and Nyström landmarks.
 
-The kernel compares fragments (words, and runs of spaced-out letters read as a word) by their subsequences of
-three symbols that span at most five, decayed by gap, so an inserted or dropped character keeps most of the
-similarity. The machine sees each fragment as its similarities to the landmarks, whitened. As the kernel has
-explicit features, trained weights fold into one table over symbol triples, and a document costs a table
-lookup for each triple of its distinct words. A document's score is a logistic of its three worst fragments,
-of how many stand on the toxic side, and of its length.
-
-Labels are of documents: words that stand in toxic documents far more often than chance, and words with a
-symbol run that does and that clean documents lack, train as toxic; words of clean documents as clean.
+The kernel compares windows of WIDTH consecutive words (a run of spaced-out letters read as a word) by their words'
+subsequences of three symbols that span at most five, decayed by gap, so an inserted or dropped character keeps most
+of the similarity. The machine sees each window as its similarities to landmark windows, whitened. As the kernel has
+explicit features, trained weights fold into one table over symbol triples; a word's sums over the table are kept, and
+a window's margin follows from those of its words. A document's score is a logistic of its three worst windows, of how
+many stand on the toxic side, and of their number.
+
+Labels are of documents, of whose windows few are toxic. Those of toxic documents that hold a marked word train as
+toxic, marked being words that stand in toxic documents far more often than chance has it, and words with a symbol run
+that does and that clean documents lack; windows of clean documents train as clean, at first some of each document, then
+those that the machine takes for toxic.
 """
 
 from __future__ import annotations
@@ -22,19 +24,26 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm import labels as L
+from brindle.session import stash
 
+#: Bounds of the training, which is all on a bounded sample; scoring has none.
 SAMPLE = 12_000  # labelled documents that training reads
-POSITIVE, NEGATIVE, LANDMARKS = 3_000, 9_000, 320  # fragments that reach the driver, and landmarks
+MARKS, MARKED = 400, 3_000  # symbol runs and words that mark toxic documents
+POSITIVE, NEGATIVE, LANDMARKS = 3_000, 9_000, 480  # windows to train on (as many hard ones as NEGATIVE beside), and landmarks
+EACH = 3  # windows of one clean document, or of one toxic document and marked word, that training takes
 FOLDS, FOLD = 5, 0
+WIDTH = 2  # words of a window
 SURE = 13.0  # least -log chance that a run marks toxic documents by accident
+CACHED = 300_000  # words whose sums a task keeps
 _STEPS = [(1, 2, 1.0), (1, 3, 0.6), (2, 3, 0.6), (1, 4, 0.36), (2, 4, 0.36), (3, 4, 0.36)]
 _LEET = str.maketrans("013457@$", "oieastas")
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 _EDGES = re.compile(r"[\W_]+")
+_OWN = 64**3  # codes of triples of a to z; as many hold the others by hash
 
 
 def fragments(text: str | None) -> list[str]:
@@ -48,21 +57,33 @@ def plain(word: str) -> str:
     return _EDGES.sub("", word.translate(_LEET) if not word.isdigit() else word)
 
 
-def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of symbol triples, their weights, and the word of each."""
+def windows(text: str | None) -> list[str]:
+    """Each run of WIDTH plain words, space-joined; a shorter text is one. Single letters have no triple and count as none."""
+    words = [p for w in fragments(text) if len(p := plain(w)) > 1]
+    return [" ".join(words[k : k + WIDTH]) for k in range(max(1, len(words) - WIDTH + 1))] if words else []
+
+
+def _codes(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the symbol triples within the words of space-joined units, their weights, and the unit of each."""
+    split = [u.split(" ") for u in units]
+    words = [w for u in split for w in u]
     text = "".join(f"\0{w}\0\0\0\0" for w in words)
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    letters = (points >= 97) & (points <= 122)
-    symbol = np.where(letters, points - 95, np.where(points == 0, 0, 28 + (points * np.uint32(2654435761) >> np.uint32(16)) % 36)).astype(np.int64)
-    owner = np.repeat(np.arange(len(words)), [len(w) + 5 for w in words])
-    symbol[np.r_[0, np.flatnonzero(np.diff(owner)) + 1]] = 1  # a word's begin
-    n = len(symbol)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    word = np.repeat(np.arange(len(words)), [len(w) + 5 for w in words])
+    owner = np.repeat(np.arange(len(units)), [len(u) for u in split])[word] if words else word
+    plain_letter = (points >= 97) & (points <= 122)
+    points[np.r_[0, np.flatnonzero(np.diff(word)) + 1][: len(words)]] = 96  # a word's begin
+    plain_letter |= points == 96
+    n = len(points)
     codes, weights, of = [], [], []
     for i, j, w in _STEPS:
-        c = (symbol[: n - j] * 64 + symbol[i : n - j + i]) * 64 + symbol[j:]
-        full = (symbol[: n - j] > 0) & (symbol[i : n - j + i] > 0) & (symbol[j:] > 0) & (owner[: n - j] == owner[j:])
-        codes.append(c[full])
-        weights.append(np.full(len(codes[-1]), w))
+        a, b, c = points[: n - j], points[i : n - j + i], points[j:]
+        full = (a > 0) & (b > 0) & (c > 0) & (word[: n - j] == word[j:])
+        a, b, c = a[full], b[full], c[full]
+        own = (plain_letter[: n - j] & plain_letter[i : n - j + i] & plain_letter[j:])[full]
+        spread = ((a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) >> 7) % _OWN
+        codes.append(np.where(own, ((a - 95) * 64 + (b - 95)) * 64 + (c - 95), _OWN + spread))
+        weights.append(np.full(len(a), w))
         of.append(owner[: n - j][full])
     return np.concatenate(codes), np.concatenate(weights), np.concatenate(of)
 
@@ -71,26 +92,26 @@ def _norms(n: int, weights: np.ndarray, of: np.ndarray) -> np.ndarray:
     return np.sqrt(np.bincount(of, weights**2, n)) + 1e-9
 
 
-def kernel(words: list[str], marks: list[str]) -> np.ndarray:
-    """Similarities of each word to each landmark: about 1 for equal words (more where a triple repeats), 0 without a common triple."""
+def kernel(units: list[str], marks: list[str]) -> np.ndarray:
+    """Similarities of each unit to each landmark: about 1 for equal ones (more where a triple repeats), 0 without a common triple."""
     code, weight, of = _codes(marks)
     known = np.unique(code)
-    table = np.zeros((len(known), len(marks)))
+    table = np.zeros((len(known), len(marks)), np.float32)
     np.add.at(table, (np.searchsorted(known, code), of), weight / _norms(len(marks), weight, of)[of])
-    code, weight, of = _codes(words)
-    at = np.minimum(np.searchsorted(known, code), len(known) - 1)
-    hit = known[at] == code
-    scaled = weight / _norms(len(words), weight, of)[of]
-    out = np.zeros((len(words), len(marks)))
-    step = 2_000  # words whose features are held at a time
-    of, at, scaled = of[hit], at[hit], scaled[hit]
-    order = np.argsort(of, kind="stable")
-    of, at, scaled = of[order], at[order], scaled[order]
-    for low in range(0, len(words), step):
-        a, b = np.searchsorted(of, [low, low + step])
-        dense = np.zeros((min(step, len(words) - low), len(known)))
-        np.add.at(dense, (of[a:b] - low, at[a:b]), scaled[a:b])
-        out[low : low + step] = dense @ table
+    out = np.zeros((len(units), len(marks)), np.float32)
+    step = 400  # units whose features are held at a time
+    for low in range(0, len(units), step):
+        part = units[low : low + step]
+        code, weight, of = _codes(part)
+        at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+        hit = known[at] == code
+        order = np.argsort(of[hit], kind="stable")
+        of_hit = of[hit][order]
+        if not len(of_hit):
+            continue
+        rows = table[at[hit][order]] * (weight / _norms(len(part), weight, of)[of])[hit][order].astype(np.float32)[:, None]
+        first = np.flatnonzero(np.r_[True, of_hit[1:] != of_hit[:-1]])
+        out[low + of_hit[first]] = np.add.reduceat(rows, first, axis=0)
     return out
 
 
@@ -99,62 +120,83 @@ class Machine:
     table: np.ndarray  # weight of each symbol triple
     bias: float
     weights: np.ndarray | None = None  # of evidence(), the last one of the constant
+    range: tuple[np.ndarray, np.ndarray] | None = None  # of evidence() in training; nothing is carried on beyond
 
-    def margins(self, words: list[str]) -> np.ndarray:
-        if not words:
-            return np.zeros(0)
+    def sums(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word the weighted sum over the table and the squared norm."""
         code, weight, of = _codes(words)
-        return np.bincount(of, self.table[code] * weight, len(words)) / _norms(len(words), weight, of) + self.bias
+        return np.bincount(of, self.table[code] * weight, len(words)), np.bincount(of, weight**2, len(words))
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(np.c_[evidence, np.ones(len(evidence))] @ self.weights, -500, 500)))
+        seen = np.clip(evidence, *self.range)
+        return 1 / (1 + np.exp(-np.clip(np.c_[seen, np.ones(len(seen))] @ self.weights, -500, 500)))
 
 
 class Scorer:
-    """Margins of documents; margins of words are kept, 300,000 at most."""
+    """Margins of documents' windows; the sums of CACHED words are kept at most."""
 
     def __init__(self, machine: Machine):
-        self.machine, self.known = machine, {}
-
-    def __call__(self, texts: list[str | None]) -> np.ndarray:
-        parts = [fragments(t) for t in texts]
-        new = {w for p in parts for w in p} - self.known.keys()
-        if len(self.known) + len(new) > 300_000:
-            self.known = {}
-            new = {w for p in parts for w in p}
-        new = list(new)
+        self.machine = machine
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.plain: list[str] = []
+        self.sum, self.norm = np.zeros(0), np.zeros(0)
+
+    def learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > CACHED:
+            self.clear()
+            new = list(words)
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
-            self.known.update(zip(part, self.machine.margins([plain(w) for w in part]).tolist(), strict=True))
-        return np.array([evidence(np.fromiter(map(self.known.__getitem__, p), float, len(p)), self.machine.bias) for p in parts]).reshape(len(parts), 5)
+            read = [plain(w) for w in part]
+            s, q = self.machine.sums(read)
+            self.known.update(zip(part, range(len(self.plain), len(self.plain) + len(part)), strict=True))
+            self.plain += read
+            self.sum, self.norm = np.r_[self.sum, s], np.r_[self.norm, q]
+
+    def margins(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Margin of each window of the fragments of a text, and the numbers of its words; the words are known."""
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        at = at[self.norm[at] > 0]
+        s, q, n = self.sum[at], self.norm[at], min(WIDTH, len(at))
+        if not n:
+            return np.zeros(0), at
+        m = len(at) - n + 1
+        return sum(s[k : k + m] for k in range(n)) / np.sqrt(sum(q[k : k + m] for k in range(n))) + self.machine.bias, at
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, list[str]]:
+        """Evidence of each text, and its worst window."""
+        parts = [fragments(t) for t in texts]
+        self.learn({w for p in parts for w in p})
+        out, worst = [], []
+        for p in parts:
+            m, at = self.margins(p)
+            out.append(evidence(m, self.machine.bias))
+            w = int(m.argmax()) if len(m) else 0
+            worst.append(" ".join(self.plain[k] for k in at[w : w + WIDTH]))
+        return np.array(out).reshape(len(parts), 5), worst
 
 
 def evidence(margins: np.ndarray, least: float) -> list[float]:
-    """The three largest margins, the logs of the number of toxic fragments and of all."""
+    """The three largest margins, the logs of the number of toxic windows and of all."""
     top = np.sort(np.r_[np.partition(margins, -3)[-3:] if len(margins) > 3 else margins, [least] * 3])[::-1][:3]
     return [*np.clip(top, -5, 5), np.log1p((margins > 0).sum()), np.log1p(len(margins))]
 
 
-def train_machine(bad: dict[str, float], good: dict[str, float], rounds: int = 30, c: float = 10.0) -> Machine:
+def train_machine(bad: list[str], good: list[str], rounds: int = 30, c: float = 10.0) -> Machine:
     """A linear machine with squared hinge loss over whitened similarities to landmarks, by Newton steps.
 
-    bad, good: fragments, those of most evidence first, with the documents that each stands in; these weigh it.
-    Half of a class's landmarks are its first fragments, the rest are spread over the others.
+    bad, good: windows; the landmarks are the first of each. Both classes weigh the same.
     """
-
-    def pick(words: list[str], n: int) -> list[str]:
-        first, rest = words[: n // 2], words[n // 2 :]
-        more = min(n - len(first), len(rest))
-        return first + [rest[k * len(rest) // more] for k in range(more)]
-
-    half = LANDMARKS // 2
-    marks = list(dict.fromkeys(w for w in pick(list(bad), half) + pick(list(good), half) if w))
-    value, vector = np.linalg.eigh(kernel(marks, marks))
+    marks = list(dict.fromkeys(bad[: LANDMARKS // 2] + good[: LANDMARKS // 2]))
+    value, vector = np.linalg.eigh(kernel(marks, marks).astype(float))
     whiten = vector / np.sqrt(np.maximum(value, 1e-3))
     x = np.c_[kernel([*bad, *good], marks) @ whiten, np.ones(len(bad) + len(good))]
     y = np.r_[np.ones(len(bad)), -np.ones(len(good))]
-    share = [np.sqrt(np.fromiter(part.values(), float, len(part))) for part in (bad, good)]
-    cost = c * len(y) / 2 * np.concatenate([v / v.sum() for v in share])
+    cost = c * len(y) / 2 * np.r_[np.full(len(bad), 1 / len(bad)), np.full(len(good), 1 / len(good))]
     w = np.zeros(x.shape[1])
     ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-3
@@ -167,9 +209,9 @@ def train_machine(bad: dict[str, float], good: dict[str, float], rounds: int = 3
         w = new
     beta = whiten @ w[:-1]
     code, weight, of = _codes(marks)
-    table = np.zeros(64**3)
+    table = np.zeros(2 * _OWN)
     np.add.at(table, code, weight / _norms(len(marks), weight, of)[of] * beta[of])
-    return Machine(table, float(w[-1]))
+    return Machine(table.astype(np.float32), float(w[-1]))
 
 
 def _calibrate(machine: Machine, x: np.ndarray, y: np.ndarray) -> None:
@@ -183,6 +225,7 @@ def _calibrate(machine: Machine, x: np.ndarray, y: np.ndarray) -> None:
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
+    machine.range = x.min(0), x.max(0)
     slope = w[:-1] / scale
     machine.weights = np.r_[slope, w[-1] - slope @ centre]
 
@@ -206,7 +249,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, label in zip(b[1], b[2].to_pylist(), strict=True):
             words = {p for w in set(fragments(text.as_py())) if (p := plain(w))}
             count[label].update(words)
-            runs[label].update({s[k : k + m] for w in words for s in (f"^{w[:40]}$",) for m in (4, 5) for k in range(len(s) - m + 1)})
+            runs[label].update({s[k : k + m] for w in words for s in (f"^{w}$",) for m in (4, 5) for k in range(len(s) - m + 1)})
         for kind, (clean, toxic) in ((False, count), (True, runs)):
             units = list(clean.keys() | toxic.keys())
             for k in range(0, len(units), 100_000):
@@ -216,12 +259,37 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     names=["unit", "is_run", "toxic", "clean"])
 
 
+def _training_windows(marked: dict[str, int]):
+    """(label, word, window, h): EACH windows of least hash of a toxic document and marked word, and of a clean document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple[int, str, str, int]] = []
+            for text, label in zip(b[1].to_pylist(), b[2].to_pylist(), strict=True):
+                by: dict[str, set[str]] = {}
+                for u in windows(text):
+                    for w in (set(u.split(" ")) & marked.keys()) if label else ("",):
+                        by.setdefault(w, set()).add(u)
+                for w, found in by.items():
+                    rows += sorted(((label, w, u, xxhash.xxh64_intdigest(u) >> 1) for u in found), key=lambda r: r[3:])[:EACH]
+            cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["label", "word", "window", "h"])
+
+    return run
+
+
+def _first(df: DataFrame, n: int, *order) -> list:
+    """The first n rows by an order without ties; they are put together by a task, so the driver gets n rows at most."""
+    return stash(df.orderBy(*order).limit(n)).orderBy(*order).collect()
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE) -> Machine | None:
     """Train on at most `rows` labelled documents outside the held-out fold; None if nothing marks either class."""
     chosen = L.sample(labels, "toxic", FOLDS, FOLD, rows)
-    texts = L.labelled(docs, chosen, id_col, text_col)
-    # Near copies would make their every word a mark: of documents with one sketch one counts.
-    distinct = texts.mapInArrow(_sketches, "doc_id long, text string, label int, sketch long").dropDuplicates(["label", "sketch"]).drop("sketch").persist()
+    texts = stash(L.labelled(docs, chosen, id_col, text_col))
+    # Near copies would make their every word a mark: of documents with one sketch that with the smallest id counts.
+    sketched = texts.mapInArrow(_sketches, "doc_id long, text string, label int, sketch long")
+    distinct = stash(sketched.groupBy("label", "sketch").agg(F.min(F.struct("doc_id", "text")).alias("d")).select("d.doc_id", "d.text", "label"))
     count = {r["label"]: r["count"] for r in distinct.groupBy("label").count().collect()}
     nt, nc = count.get(1, 0), count.get(0, 0)
     if not nt or not nc:
@@ -230,32 +298,31 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     base = math.log((nt + nc) / nt)
     # A run marks toxic documents if nearly all that hold it are toxic, and chance would hardly have it so.
     chance = F.col("toxic") * base - F.col("clean") * F.log1p(F.col("toxic") / (F.col("clean") + 1))
-    marks = units.where("is_run AND toxic >= 4 AND toxic >= 20 * clean").where(chance >= SURE).orderBy(F.desc(chance), "unit").limit(400).collect()
+    marks = _first(units.where("is_run AND toxic >= 4 AND toxic >= 20 * clean").where(chance >= SURE), MARKS, F.desc(chance), "unit")
     words = units.where("NOT is_run")
-    often = words.where("toxic >= 4 AND toxic >= 8 * clean").where(chance >= SURE).orderBy(F.desc(chance), "unit").limit(POSITIVE).collect()
-    bad = {r["unit"]: r["toxic"] for r in often}
+    often = _first(words.where("toxic >= 4 AND toxic >= 8 * clean").where(chance >= SURE), MARKED, F.desc(chance), "unit")
+    marked = {r["unit"]: r["toxic"] for r in often}
     if marks:
         any_mark = "|".join(re.escape(m["unit"].replace("^", "\1").replace("$", "\2")).replace("\1", "^").replace("\2", "$") for m in marks)
-        more = words.where("clean = 0 AND toxic > 0").where(F.col("unit").rlike(any_mark)).orderBy(F.desc("toxic"), "unit").limit(POSITIVE).collect()
-        bad |= {r["unit"]: r["toxic"] for r in more}
-    common = words.where("clean > 0").orderBy(F.desc("clean"), "unit").limit(NEGATIVE // 3).collect()
-    rare = words.where("clean > 0").orderBy(F.xxhash64("unit"), "unit").limit(NEGATIVE - NEGATIVE // 3).collect()
+        more = _first(words.where("clean = 0 AND toxic > 0").where(F.col("unit").rlike(any_mark)), MARKED, F.desc("toxic"), "unit")
+        marked |= {r["unit"]: r["toxic"] for r in more}
     units.unpersist()
-    distinct.unpersist()
-    bad = dict(list(bad.items())[:POSITIVE])
-    good = {r["unit"]: r["clean"] for r in [*common, *rare] if r["unit"] not in bad}
+    found = stash(distinct.mapInArrow(_training_windows(marked), "label int, word string, window string, h long").distinct())
+    turn = F.row_number().over(Window.partitionBy("word").orderBy("h", "window"))
+    # Each marked word in turn, so that the first windows, the landmarks, show them all.
+    bad = list(dict.fromkeys(r["window"] for r in _first(found.where("label = 1").withColumn("turn", turn), POSITIVE, "turn", "word")))
+    good = [r["window"] for r in _first(found.where("label = 0"), NEGATIVE, "h", "window")]
+    good = [u for u in good if not marked.keys() & set(u.split(" "))]
     if not bad or not good:
         return None
     machine = train_machine(bad, good)
-    for last in (False, True):  # clean documents of the sample show which of their words still look bad
-        scored = texts.mapInArrow(_worst(machine), "label int, x array<double>, word string").toArrow()
+    for last in (False, True):  # clean documents of the sample show which of their windows still look bad
+        scored = texts.mapInArrow(_worst(machine), "doc_id long, label int, x array<double>, window string").toArrow().sort_by([("doc_id", "ascending"), ("window", "ascending")])
         y, x = scored["label"].to_numpy(), np.array(scored["x"].to_pylist(), float).reshape(-1, 5)
-        hard = Counter(w for w, v, t in zip(scored["word"].to_pylist(), x[:, 0], y, strict=True) if t == 0 and v > -0.5 and w and w not in bad)
+        hard = Counter(u for u, v, t in zip(scored["window"].to_pylist(), x[:, 0], y, strict=True) if t == 0 and v > -0.5 and u)
         if not hard or last:
             break
-        for w, n in hard.most_common(NEGATIVE):
-            good[w] = good.get(w, 0) + n
-        machine = train_machine(bad, good)
+        machine = train_machine(bad, list(dict.fromkeys([u for u, _ in hard.most_common(NEGATIVE)] + good)))
     _calibrate(machine, x, y)
     return machine
 
@@ -264,10 +331,8 @@ def _worst(machine: Machine):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(machine)
         for b in batches:
-            texts = b[1].to_pylist()
-            x = score(texts)
-            words = [plain(max(f, key=score.known.__getitem__)) if (f := fragments(t)) else "" for t in texts]
-            yield pa.RecordBatch.from_arrays([b[2], pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(words, pa.string())], names=["label", "x", "word"])
+            x, worst = score(b[1].to_pylist())
+            yield pa.RecordBatch.from_arrays([b[0], b[2], pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(worst, pa.string())], names=["doc_id", "label", "x", "window"])
 
     return run
 
@@ -275,16 +340,18 @@ def _worst(machine: Machine):
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every whole text.
 
-    Null texts score as empty ones: as a document without a fragment. Where training finds nothing every score
-    is 0. Null ids and repeated rows are scored like others; columns other than id and text are not read.
+    Null texts score as empty ones: as a document without a window; very long ones are read whole. Where training
+    finds no toxic or no clean window every score is 0. Null ids and repeated rows are scored like others, ties and
+    all: a score depends on the text and the training sample alone. No rows give none; columns other than id and text
+    are not read, whatever their names.
     """
     machine = train(docs, labels, id_col, text_col, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(machine) if machine else None
         for b in batches:
-            s = np.concatenate([machine.probability(score(b[1][k : k + 200].to_pylist())) if machine else np.zeros(len(b[1][k : k + 200])) for k in range(0, b.num_rows, 200)] or [np.zeros(0)])
+            s = np.concatenate([machine.probability(score(b[1][k : k + 200].to_pylist())[0]) if machine else np.zeros(len(b[1][k : k + 200])) for k in range(0, b.num_rows, 200)] or [np.zeros(0)])
             held = [L.held_out(i, FOLDS, FOLD) for i in b[0].to_pylist()]
             yield pa.RecordBatch.from_arrays([b[0], pa.array(held, pa.bool_()), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
