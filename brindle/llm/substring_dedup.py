@@ -147,9 +147,9 @@ def _runs(bits: int, whole: bool):
                     for first, last in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
                         # The run reaches from the vertex before the nonbranching ones to the one after them.
                         begin, stop = int(places[first - 1]), int(places[last]) + K
-                        end = max(begin, stop - WINDOW + 1)
-                        inside[begin:end] |= (of[begin:end] >= first) & (of[begin:end] < last)
-                        rows.append((begin, stop, names[first], *_digest(words[begin:stop])))
+                        if stop - begin >= WINDOW:
+                            inside[begin : stop - WINDOW + 1] = True
+                            rows.append((begin, stop, names[first], *_digest(words[begin:stop])))
                     opened = np.flatnonzero(repeated[of] & ~inside)
                 else:
                     opened = np.unique(np.concatenate([np.arange(x, y - WINDOW + 1) for x, y in zip(pos, path, strict=True)]))

@@ -109,6 +109,17 @@ def test_substring_dedup_with_branches(spark, seed, bits):
     assert rows(got, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want, key=repr)
 
 
+def test_substring_dedup_of_passages_about_a_window_long(spark):
+    """Passages of 40 to 60 words between words of each document's own, so most shared runs are too short."""
+    r = random.Random(21)
+    parts = [prose(r.randint(40, 60), r) for _ in range(30)]
+    own = lambda i, k: " ".join(f"{r.choice(VOCAB)}{i}x{k}" for _ in range(r.randint(3, 30)))
+    texts = [" ".join(f"{own(i, k)} {r.choice(parts)}" for k in range(12)) + " " + own(i, 99) for i in range(60)]
+    want = brute_windows([((i, 0), t) for i, t in enumerate(texts)])
+    got = substring_dedup.substring_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert rows(got, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want, key=repr)
+
+
 def test_exact_dedup(docs, empty):
     items = pairs(docs)
     norm = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in items]
