@@ -33,26 +33,61 @@ def reach(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where it is unset (tests) a temporary one."""
+    """The folder of spark.checkpoint.dir. Unset, a temporary one where driver and executors are one process (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="brindle-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+_OPEN: list[list[str]] = []  # paths of the tables stashed in each open scope
+
+
 def stash(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared folder and read again, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _OPEN:
+        _OPEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
+
+
 def unstash(df: DataFrame) -> None:
     """Delete the files of a stashed table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(conf).delete(path, True)
+    for path in {x.rpartition("/")[0] for x in df.inputFiles()}:
+        _delete(df.sparkSession, path)
+
+
+class scope:
+    """Tables stashed inside are deleted at the end, but for those that are kept. What leaves the scope reads kept ones only."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.kept = spark, set()
+
+    def __enter__(self) -> scope:
+        _OPEN.append([])
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df stashed, to outlive this scope."""
+        out = stash(df)
+        self.kept.add(_OPEN[-1][-1])
+        return out
+
+    def __exit__(self, *error) -> None:
+        made = _OPEN.pop()
+        for path in made:
+            if path not in self.kept:
+                _delete(self.spark, path)
+        if _OPEN:
+            _OPEN[-1] += [p for p in made if p in self.kept]
