@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.rows import carry_out, text_key
-from brindle.session import stash
+from brindle.session import scope, stash
 
 WIDTH, LITERALS, SHARE = 5, 3, 0.8
 BROADCAST_WINDOWS = 200_000  # of the benchmark; more are joined by a shuffle
@@ -84,8 +84,9 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     rows of one id that hold the same item, give one row for each id and item, the largest values; null ids are
     reported as null. No documents or no items give no rows. Other columns are not read, whatever their names.
     """
-    found = _leaks(docs, benchmark, id_col, text_col, item_col, item_text_col, share)
-    return found.groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"), F.max("same_values").alias("same_values"))
+    with scope(docs.sparkSession) as sc:
+        found = _leaks(docs, benchmark, id_col, text_col, item_col, item_text_col, share)
+        return sc.keep(found.groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"), F.max("same_values").alias("same_values")))
 
 
 def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str = "item_id", item_text_col: str = "text", share: float = SHARE) -> DataFrame:
@@ -135,5 +136,6 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     by their text. All of repeated rows fall or stay. Null and empty texts stay. No rows give none, an empty benchmark
     gives all. Other columns may have any name.
     """
-    bad = _leaks(docs, benchmark, id_col, text_col).select("doc_id", "tkey", F.lit(True).alias("gone")).distinct()
+    with scope(docs.sparkSession) as sc:
+        bad = sc.keep(_leaks(docs, benchmark, id_col, text_col).select("doc_id", "tkey", F.lit(True).alias("gone")).distinct())
     return carry_out(docs, bad, id_col, text_col)

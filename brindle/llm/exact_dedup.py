@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.rows import carry_out, join_counted, text_key
-from brindle.session import stash
+from brindle.session import scope, stash
 
 SLOTS, KICKS = 4, 200
 FOLDED = 200_000  # live digests of an input partition's index; more are given out early and fold after the shuffle
@@ -185,10 +185,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text hash stays, and of rows that repeat id and text one. Null and empty texts are one group. No rows give none.
     Other columns may have any name.
     """
-    several = stash(_grouped(docs, id_col, text_col).where("group_size > 1"))
-    first = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    keys = several.groupBy("digest", first.alias("first"), "doc_id", "tkey").agg(F.count(F.lit(1)).alias("n"))
-    lows = keys.where("first").groupBy("digest").agg(F.min("tkey").alias("low"), F.count(F.lit(1)).alias("keys"))
-    # A group's keys are as many as its members: those of the keeper's id are few, the others go unread.
-    told = keys.where("first").join(lows, "digest").select("doc_id", "tkey", (F.col("tkey") != F.col("low")).alias("gone"), "n").where("gone OR n > 1").drop("n")
-    return carry_out(docs, told.unionByName(keys.where("NOT first").select("doc_id", "tkey", F.lit(True).alias("gone"))), id_col, text_col)
+    with scope(docs.sparkSession) as sc:
+        several = stash(_grouped(docs, id_col, text_col).where("group_size > 1"))
+        first = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+        keys = several.groupBy("digest", first.alias("first"), "doc_id", "tkey").agg(F.count(F.lit(1)).alias("n"))
+        lows = keys.where("first").groupBy("digest").agg(F.min("tkey").alias("low"))
+        # Of the keeper's id a group has few keys; the others all go.
+        told = keys.where("first").join(lows, "digest").select("doc_id", "tkey", (F.col("tkey") != F.col("low")).alias("gone"), "n").where("gone OR n > 1").drop("n")
+        told = sc.keep(told.unionByName(keys.where("NOT first").select("doc_id", "tkey", F.lit(True).alias("gone"))))
+    return carry_out(docs, told, id_col, text_col)

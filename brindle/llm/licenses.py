@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.rows import text_key
-from brindle.session import stash
+from brindle.session import scope, stash
 
 OTHER = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 WORD = f"[^{OTHER}]+"
@@ -127,35 +127,36 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     rows = rows.withColumn("tkey", text_key("text"))
     vocabulary = sorted({w for _, t in used for w in t.split()} | {w for p in PHRASES.values() for w in p.split()})
-    # lower() also makes a k of the Kelvin sign; so these notes hold a word too many at most, and are not the result.
-    tokens = rows.select("doc_id", "tkey", _split(F.lower("text")).alias("words"))
-    notes = stash(tokens.select("doc_id", "tkey", F.size("words").cast("long").alias("n_words"), F.array_intersect(_strings(vocabulary), "words").alias("held")))
-    frequency = {r["w"]: r["count"] for r in notes.select(F.explode("held").alias("w")).groupBy("w").count().collect()}  # a row a template word
-
-    def lacks(words: list[str], least: int) -> Column:
-        return F.size(F.array_intersect("held", _strings(words))) < least
-
-    tests = []
-    for k, label, ordered, least, p in prefixes(frequency, templates, threshold):
-        need, bar = (x.split() for x in DISTINCT.get(used[k][1], ("", "")))
-        one = F.struct(
-            F.lit(label).alias("label"), _strings(ordered).alias("tokens"), F.lit(least).alias("least"), F.lit(span(used[k][1], threshold)).alias("span"), _strings(need).alias("need"), _strings(bar).alias("bar"))
-        tests.append(F.when(F.arrays_overlap("held", _strings(ordered[:p])) & ~lacks(ordered, least) & ~lacks(need, len(need)), one))
-    phrases = [F.when(~lacks(list(set(p.split())), len(set(p.split()))), F.lit(k)) for k, p in PHRASES.items()]
-    told = notes.select("doc_id", "tkey", F.array_compact(F.array(*tests)).alias("ts"), F.array_compact(F.array(*phrases)).alias("ps")).where("size(ts) > 0 OR size(ps) > 0")
-    told = stash(told.dropDuplicates(["doc_id", "tkey"]).withColumnsRenamed({"doc_id": "c_id", "tkey": "c_key"}))
-    cand = stash(rows.join(told, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("tkey") == F.col("c_key"))).select("doc_id", "tkey", "text", "ts", "ps").dropDuplicates(["doc_id", "tkey"]))
-    more = _matches(cand.where("size(ts) > 0"), threshold).groupBy("doc_id", "tkey").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
-
-    text = F.col("text")
-    count = {f"n_{k}": F.when(F.array_contains("ps", k), F.regexp_count(text, F.lit(_phrase(p)))).otherwise(0).cast("long") for k, p in PHRASES.items()}
-    base = cand.where("size(ps) > 0").withColumns(count)
-    n_base = sum((F.col(f"`n_{k}`") for k in PHRASES), F.lit(0).cast("long"))
-    starts = [F.when(F.col(f"`n_{k}`") > 0, _words_in(F.regexp_extract(text, "(?s)^(.*?)" + _phrase(p), 1))) for k, p in PHRASES.items()]
-    ends = [F.when(F.col(f"`n_{k}`") > 0, _words_in(F.regexp_extract(text, "(?s)^(.*)" + _phrase(p), 1))) for k, p in PHRASES.items()]
-    own = F.array_compact(F.array(*[F.when(F.col(f"`n_{k}`") > 0, F.lit(k)) for k in PHRASES]))
-    base = base.select("doc_id", "tkey", n_base.alias("n_base"), F.least(*starts).alias("first_word"), F.greatest(*ends).alias("last_word"), own.alias("own")).where("n_base > 0")
-    both = stash(base.unionByName(more, allowMissingColumns=True).groupBy("doc_id", "tkey").agg(*(F.max(c).alias(c) for c in ("n_base", "first_word", "last_word", "own", "more", "share"))))
+    with scope(docs.sparkSession) as sc:
+        # lower() also makes a k of the Kelvin sign; so these notes hold a word too many at most, and are not the result.
+        tokens = rows.select("doc_id", "tkey", _split(F.lower("text")).alias("words"))
+        notes = sc.keep(tokens.select("doc_id", "tkey", F.size("words").cast("long").alias("n_words"), F.array_intersect(_strings(vocabulary), "words").alias("held")))
+        frequency = {r["w"]: r["count"] for r in notes.select(F.explode("held").alias("w")).groupBy("w").count().collect()}  # a row a template word
+
+        def lacks(words: list[str], least: int) -> Column:
+            return F.size(F.array_intersect("held", _strings(words))) < least
+
+        tests = []
+        for k, label, ordered, least, p in prefixes(frequency, templates, threshold):
+            need, bar = (x.split() for x in DISTINCT.get(used[k][1], ("", "")))
+            one = F.struct(
+                F.lit(label).alias("label"), _strings(ordered).alias("tokens"), F.lit(least).alias("least"), F.lit(span(used[k][1], threshold)).alias("span"), _strings(need).alias("need"), _strings(bar).alias("bar"))
+            tests.append(F.when(F.arrays_overlap("held", _strings(ordered[:p])) & ~lacks(ordered, least) & ~lacks(need, len(need)), one))
+        phrases = [F.when(~lacks(list(set(p.split())), len(set(p.split()))), F.lit(k)) for k, p in PHRASES.items()]
+        told = notes.select("doc_id", "tkey", F.array_compact(F.array(*tests)).alias("ts"), F.array_compact(F.array(*phrases)).alias("ps")).where("size(ts) > 0 OR size(ps) > 0")
+        told = stash(told.dropDuplicates(["doc_id", "tkey"]).withColumnsRenamed({"doc_id": "c_id", "tkey": "c_key"}))
+        cand = stash(rows.join(told, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("tkey") == F.col("c_key"))).select("doc_id", "tkey", "text", "ts", "ps").dropDuplicates(["doc_id", "tkey"]))
+        more = _matches(cand.where("size(ts) > 0"), threshold).groupBy("doc_id", "tkey").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
+
+        text = F.col("text")
+        count = {f"n_{k}": F.when(F.array_contains("ps", k), F.regexp_count(text, F.lit(_phrase(p)))).otherwise(0).cast("long") for k, p in PHRASES.items()}
+        base = cand.where("size(ps) > 0").withColumns(count)
+        n_base = sum((F.col(f"`n_{k}`") for k in PHRASES), F.lit(0).cast("long"))
+        starts = [F.when(F.col(f"`n_{k}`") > 0, _words_in(F.regexp_extract(text, "(?s)^(.*?)" + _phrase(p), 1))) for k, p in PHRASES.items()]
+        ends = [F.when(F.col(f"`n_{k}`") > 0, _words_in(F.regexp_extract(text, "(?s)^(.*)" + _phrase(p), 1))) for k, p in PHRASES.items()]
+        own = F.array_compact(F.array(*[F.when(F.col(f"`n_{k}`") > 0, F.lit(k)) for k in PHRASES]))
+        base = base.select("doc_id", "tkey", n_base.alias("n_base"), F.least(*starts).alias("first_word"), F.greatest(*ends).alias("last_word"), own.alias("own")).where("n_base > 0")
+        both = sc.keep(base.unionByName(more, allowMissingColumns=True).groupBy("doc_id", "tkey").agg(*(F.max(c).alias(c) for c in ("n_base", "first_word", "last_word", "own", "more", "share"))))
     both = both.withColumnsRenamed({"doc_id": "m_id", "tkey": "m_key"})
     joined = notes.join(both, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("tkey") == F.col("m_key")), "left")
     none = F.array().cast("array<string>")

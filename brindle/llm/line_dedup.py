@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.rows import join_counted, text_key
-from brindle.session import stash
+from brindle.session import scope, stash
 
 RARE = 16  # rows that hold a rare line at most
 
@@ -133,16 +133,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = F.col(f"`{text_col}`")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_key(text).alias("tkey"), text.alias("text"))
-    holders = stash(rows.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_holders, "a long, b long, doc_id long, tkey long, at array<int>"))
-    lines = stash(holders.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").withColumn("size", F.col("n")))
-    met = stash(join_counted(holders, lines.drop("high"), ["a", "b"], "size", F.struct("doc_id", "tkey"), "inner"))
-    common = met.where((F.col("n") > rare) & (F.col("doc_id") > F.col("low"))).select("doc_id", "tkey", F.col("at").alias("gone"))
-    groups = met.where(F.col("n") <= rare).groupBy("a", "b").agg(F.collect_set(F.struct("doc_id", "tkey", "at")).alias("m"))  # of `rare` at most
-    pairs = groups.select("m", F.explode("m").alias("x")).select("x", F.explode(F.filter("m", lambda y: y["doc_id"] < F.col("x.doc_id"))).alias("y"))
-    pairs = pairs.groupBy("x.doc_id", "x.tkey", F.col("y.doc_id").alias("d0"), F.col("y.tkey").alias("k0")).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("x.at").alias("mine"), F.col("y.at").alias("first")))).alias("lines"))
-    aligned = pairs.select("doc_id", "tkey", "lines").mapInArrow(_align, "doc_id long, tkey long, gone array<int>").where("size(gone) > 0")
-    gone = stash(common.unionByName(aligned).groupBy("doc_id", "tkey").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")))
+    with scope(docs.sparkSession) as sc:
+        holders = stash(rows.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_holders, "a long, b long, doc_id long, tkey long, at array<int>"))
+        lines = stash(holders.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").withColumn("size", F.col("n")))
+        met = stash(join_counted(holders, lines.drop("high"), ["a", "b"], "size", F.struct("doc_id", "tkey"), "inner"))
+        common = met.where((F.col("n") > rare) & (F.col("doc_id") > F.col("low"))).select("doc_id", "tkey", F.col("at").alias("gone"))
+        groups = met.where(F.col("n") <= rare).groupBy("a", "b").agg(F.collect_set(F.struct("doc_id", "tkey", "at")).alias("m"))  # of `rare` at most
+        pairs = groups.select("m", F.explode("m").alias("x")).select("x", F.explode(F.filter("m", lambda y: y["doc_id"] < F.col("x.doc_id"))).alias("y"))
+        pairs = pairs.groupBy("x.doc_id", "x.tkey", F.col("y.doc_id").alias("d0"), F.col("y.tkey").alias("k0")).agg(
+            F.array_sort(F.collect_list(F.struct(F.col("x.at").alias("mine"), F.col("y.at").alias("first")))).alias("lines"))
+        aligned = pairs.select("doc_id", "tkey", "lines").mapInArrow(_align, "doc_id long, tkey long, gone array<int>").where("size(gone) > 0")
+        gone = sc.keep(common.unionByName(aligned).groupBy("doc_id", "tkey").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")))
     full = rows.join(gone, ["doc_id", "tkey"], "left")
     cut = F.expr("element_at(transform(array(named_struct('l', split(text, '\n'), 'g', gone)), v -> array_join(transform(array_except(sequence(0, size(v.l) - 1), v.g), i -> v.l[i]), '\n')), 1)")
     full = full.withColumn("kept_text", F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(cut))

@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
-from brindle.session import stash
-
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 HOT = 1_000  # a key is hot if more than one in HOT of the rows have it, so at most HOT keys are
 
@@ -45,10 +43,10 @@ def carry_out(docs: DataFrame, verdicts: DataFrame, id_col: str, text_col: str)
     """docs less the rows that verdicts (doc_id, tkey, gone) name, with all columns as they were.
 
     A verdict holds for the rows of that id, null being one too, and text: gone ones go, of others one row stays,
-    that of the least hash over all columns. tkey is text_key of the text; there is at most one verdict a key.
+    that of the least hash over all columns. tkey is text_key of the text; there is at most one verdict a key. They are
+    a stashed table, so that the planner knows its size and doesn't shuffle the texts where it is small.
     """
     i, k, g, one = fresh(), fresh(), fresh(), fresh()
-    verdicts = stash(verdicts)  # so that the planner knows its size and doesn't shuffle the texts where it is small
     cols = [F.col(f"`{c}`") for c in docs.columns]
     told = verdicts.select(F.col("doc_id").alias(i), F.col("tkey").alias(k), F.col("gone").alias(g))
     met = docs.join(told, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(i)) & (text_key(F.col(f"`{text_col}`")) == F.col(k)), "left")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from brindle.llm.rows import ASCII_LOWER, carry_out, join_counted, text_key
 from brindle.llm.similar import similar_links
 from brindle.operators.graph import connected_components
-from brindle.session import stash
+from brindle.session import scope, stash
 
 BITS = 64
 CELL = 20_000  # distinct fingerprints of one block's value that one task takes at a time; more are dealt in cells
@@ -159,12 +159,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     form no class id (a class of such rows alone has null). Repeated rows and ties share their class. No rows give
     none. Other columns are not read, whatever their names.
     """
-    rows = stash(fingerprints(docs, id_col, text_col, width, seed))
-    fps = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")))
-    nodes = connected_components(near_links(fps.select("fp"), budget))
-    roots = stash(fps.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    lows = roots.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("size"))
-    of = stash(join_counted(roots, lows, ["root"], "size", F.col("fp"), "inner").select("fp", "component_id", "n"))
+    with scope(docs.sparkSession) as sc:
+        rows = sc.keep(fingerprints(docs, id_col, text_col, width, seed))
+        fps = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")))
+        nodes = connected_components(near_links(fps.select("fp"), budget))
+        roots = stash(fps.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+        lows = roots.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("size"))
+        of = sc.keep(join_counted(roots, lows, ["root"], "size", F.col("fp"), "inner").select("fp", "component_id", "n"))
     found = join_counted(rows, of, ["fp"], "n", F.col("doc_id"), "inner")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -179,13 +180,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     name.
     """
     text = F.col(f"`{text_col}`")
-    rows, links = similar_links(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_key(text).alias("tkey"), text.alias("text")), width, least)
-    sets = stash(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
-    roots = stash(sets.join(connected_components(links).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    wide = roots.groupBy("root").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("sets")).where("size > 1")
-    some = join_counted(roots, wide.select("root", F.col("sets").alias("size")), ["root"], "size", F.col("fp"), "inner").select("fp", "root", "n")
-    met = stash(join_counted(rows, some, ["fp"], "n", F.struct("doc_id", "tkey"), "inner").groupBy("root", "doc_id", "tkey").agg(F.count(F.lit(1)).alias("n")))
-    me = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")
-    lows = met.groupBy("root").agg(F.min(me).alias("low"), F.count(F.lit(1)).alias("size"))
-    told = join_counted(met, lows, ["root"], "size", F.struct("doc_id", "tkey"), "inner").select("doc_id", "tkey", (me != F.col("low")).alias("gone"), "n")
-    return carry_out(docs, told.where("gone OR n > 1").drop("n"), id_col, text_col)
+    with scope(docs.sparkSession) as sc:
+        rows, links = similar_links(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_key(text).alias("tkey"), text.alias("text")), width, least)
+        sets = stash(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
+        roots = stash(sets.join(connected_components(links).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+        wide = roots.groupBy("root").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("sets")).where("size > 1")
+        some = join_counted(roots, wide.select("root", F.col("sets").alias("size")), ["root"], "size", F.col("fp"), "inner").select("fp", "root", "n")
+        met = stash(join_counted(rows, some, ["fp"], "n", F.struct("doc_id", "tkey"), "inner").groupBy("root", "doc_id", "tkey").agg(F.count(F.lit(1)).alias("n")))
+        me = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")
+        lows = met.groupBy("root").agg(F.min(me).alias("low"), F.count(F.lit(1)).alias("size"))
+        told = join_counted(met, lows, ["root"], "size", F.struct("doc_id", "tkey"), "inner").select("doc_id", "tkey", (me != F.col("low")).alias("gone"), "n")
+        told = sc.keep(told.where("gone OR n > 1").drop("n"))
+    return carry_out(docs, told, id_col, text_col)

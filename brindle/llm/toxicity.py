@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm import labels as L
-from brindle.session import stash
+from brindle.session import scope, stash
 
 #: Bounds of the training, which is all on a bounded sample; scoring has none.
 SAMPLE = 12_000  # labelled documents that training reads
@@ -345,7 +345,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     all: a score depends on the text and the training sample alone. No rows give none; columns other than id and text
     are not read, whatever their names.
     """
-    machine = train(docs, labels, id_col, text_col, rows)
+    with scope(docs.sparkSession):
+        machine = train(docs, labels, id_col, text_col, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(machine) if machine else None
