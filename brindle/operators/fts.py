@@ -1,8 +1,9 @@
 """Full-text search with BM25.
 
-A search makes two narrow passes: one counts the documents, tokens and documents with each query term, a few
-numbers; the other scores each row from its own terms. Nothing is shuffled but the best rows. An index keeps
-the analysed terms, so that texts aren't analysed again.
+A search over rows makes two narrow passes: one counts the documents, tokens and documents with each query term, a few
+numbers; the other scores each row from its own terms. Nothing is shuffled but the best rows. An index keeps postings
+in order of term, and the lengths of documents: a search reads the postings of its own terms, shuffles these by row, and
+reads of the table the fragments of the rows it found.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import analyzer
 from brindle.functions.analyzer import Params
-from brindle.session import stash
+from brindle.session import stash, unstash
 
 K1, B = 1.2, 0.75
 
@@ -118,8 +119,9 @@ def columns_of(query: Query) -> set[str]:
 class _Plan:
     """Scores of a query over rows that carry the terms of each column as __t_<k>."""
 
-    def __init__(self, docs: DataFrame, terms: dict[str, str], params: Params):
-        self.docs, self.terms, self.params = docs, terms, params
+    def __init__(self, docs: DataFrame | None, terms: dict[str, str], params: Params, length: str | None = None, total: tuple[int, int] | None = None):
+        """length, total: the column of documents' lengths, and documents and tokens of all, where docs are a part."""
+        self.docs, self.terms, self.params, self.length, self.total = docs, terms, params, length, total
         self.groups: dict[int, list[list[str]]] = {}
         self.stats: dict[str, dict] = {}
 
@@ -137,16 +139,22 @@ class _Plan:
             for _, x in q.queries:
                 yield from self._leaves(x)
 
-    def prepare(self, query: Query) -> None:
-        """Expand the terms of all leaves and count them in one pass."""
-        leaves = list(self._leaves(query))
-        for leaf in leaves:
+    def expand(self, query: Query, vocabulary: DataFrame | None = None) -> set[str]:
+        """The terms of all leaves. vocabulary: (t) of the only column; else terms come from docs."""
+        for leaf in self._leaves(query):
             tokens = analyzer.tokenize(leaf.query, self.params)
             if isinstance(leaf, MatchQuery) and leaf.fuzziness:
-                self.groups[id(leaf)] = self._expand(leaf, [t for t, _ in tokens])
+                self.groups[id(leaf)] = self._expand(leaf, [t for t, _ in tokens], vocabulary)
             else:
                 self.groups[id(leaf)] = [[t] for t, _ in tokens]
             leaf.at = [p for _, p in tokens]
+        return {t for leaf in self._leaves(query) for g in self.groups[id(leaf)] for t in g}
+
+    def prepare(self, query: Query) -> None:
+        """Expand the terms of all leaves, where that isn't done, and count them in one pass."""
+        leaves = list(self._leaves(query))
+        if any(id(leaf) not in self.groups for leaf in leaves):
+            self.expand(query)
         wanted = {c: sorted({t for leaf in leaves if leaf.column == c for g in self.groups[id(leaf)] for t in g}) for c in {leaf.column for leaf in leaves}}
         aggs = []
         for c, ts in wanted.items():
@@ -155,12 +163,13 @@ class _Plan:
             aggs += [F.count_if(_has(arr, t)).alias(f"{k}|{c}") for k, t in enumerate(ts)]
         row = self.docs.agg(*aggs).first() if aggs else {}
         for c, ts in wanted.items():
-            n = row[f"n|{c}"]
-            self.stats[c] = {"n": n, "avgdl": (row[f"l|{c}"] or 0) / n if n else 0.0, "df": {t: row[f"{k}|{c}"] for k, t in enumerate(ts)}}
+            n, tokens = self.total or (row[f"n|{c}"], row[f"l|{c}"] or 0)
+            self.stats[c] = {"n": n, "avgdl": tokens / n if n else 0.0, "df": {t: row[f"{k}|{c}"] for k, t in enumerate(ts)}}
 
-    def _expand(self, leaf: MatchQuery, words: list[str]) -> list[list[str]]:
+    def _expand(self, leaf: MatchQuery, words: list[str], vocabulary: DataFrame | None) -> list[list[str]]:
         """Terms of the column within the edits, in order, from one budget for all words."""
-        vocabulary = self.docs.select(F.explode(F.transform(self.terms[leaf.column], lambda x: x["t"])).alias("t"))
+        if vocabulary is None:
+            vocabulary = self.docs.select(F.explode(F.transform(self.terms[leaf.column], lambda x: x["t"])).alias("t"))
         near = lambda w: (F.levenshtein("t", F.lit(w), leaf.fuzziness) >= 0) & F.startswith("t", F.lit(w[: leaf.prefix_length]))
         found = vocabulary.where(reduce(lambda a, b: a | b, map(near, words), F.lit(False))).distinct()
         left, out = leaf.max_expansions, []
@@ -175,7 +184,8 @@ class _Plan:
         df = s["df"][term]
         idf = math.log((s["n"] - df + 0.5) / (df + 0.5) + 1)
         f = F.size(F.filter(arr, lambda x: x["t"] == term)).cast("double")
-        norm = K1 * (1 - B + B * F.size(arr) / F.lit(float(s["avgdl"]) or 1.0))
+        length = F.col(self.length) if self.length else F.size(arr)
+        norm = K1 * (1 - B + B * length / F.lit(float(s["avgdl"]) or 1.0))
         return F.when(f > 0, F.lit(idf * (K1 + 1)) * f / (f + norm)).otherwise(0.0)
 
     def score(self, q: Query) -> Column:
@@ -265,8 +275,11 @@ def list_elements(df: DataFrame, column: str) -> DataFrame:
     return df.select("*", F.posexplode(column).alias("_doc_index", "__e")).drop(column).withColumnRenamed("__e", column)
 
 
+FETCHED = 10_000  # rows found by an index that go by the driver, to know their fragments; of more the table is joined whole
+
+
 class TextIndex:
-    """The analysed terms of a column of a table version, kept by row address."""
+    """Postings of a column of a table version, in order of term, and the lengths of its documents."""
 
     def __init__(self, table, entry: dict):
         self.table, self.entry = table, entry
@@ -276,30 +289,69 @@ class TextIndex:
     def build(cls, table, column: str, name: str | None = None, **params) -> "TextIndex":
         p = Params(**params)
         path = f"_indices/{uuid.uuid4().hex}"
-        df = table.to_df(system=True, columns=[column]).select("_rowaddr", analyzer.terms(F.col(column), p).alias("terms"))
-        df.write.parquet(table.store.at(path))
+        df = stash(table.to_df(system=True, columns=[column]).select("_rowaddr", analyzer.terms(F.col(column), p).alias("terms")).where("terms IS NOT NULL"))
+        df.select("_rowaddr", F.size("terms").alias("dl")).write.parquet(table.store.at(f"{path}/lengths"))
+        one = df.select("_rowaddr", F.size("terms").alias("dl"), F.explode("terms").alias("x"))
+        posts = one.groupBy(F.col("x.t").alias("term"), "_rowaddr", "dl").agg(F.sort_array(F.collect_list("x.p")).alias("positions"))
+        posts.repartitionByRange("term", "_rowaddr").sortWithinPartitions("term", "_rowaddr").write.parquet(table.store.at(f"{path}/postings"))
+        unstash(df)
         from brindle.plans.indexes import register
 
         kept = {k: v for k, v in p.__dict__.items()}
         return cls(table, register(table, {"name": name or f"{column}_idx", "column": column, "kind": "INVERTED", "path": path, "params": kept}))
 
+    def _of_live(self, part: str, covered: list[int]) -> DataFrame:
+        """A side table without rows of other fragments and deleted ones."""
+        table = self.table
+        df = table.spark.read.parquet(table.store.at(f"{self.entry['path']}/{part}")).where(F.shiftright("_rowaddr", 32).isin(covered))
+        if table.manifest.deletions:
+            gone = table.spark.read.parquet(*[table.store.at(d["path"]) for d in table.manifest.deletions]).select(F.col("addr").alias("_rowaddr"))
+            df = df.join(gone, "_rowaddr", "left_anti")
+        return df
+
     def search(self, query: Query | str | dict, limit: int | None = None, fast: bool = False) -> DataFrame:
-        """Rows with _score: indexed terms, and rows of uncovered fragments analysed now unless fast."""
+        """Rows with _score: by postings, and rows of uncovered fragments analysed now unless fast."""
+        from brindle.plans.indexes import Planner
+
         table, column = self.table, self.entry["column"]
         query = MatchQuery(query, column) if isinstance(query, str) else from_json(query) if isinstance(query, dict) else query
-        if not self.params.with_position and any(isinstance(q, PhraseQuery) for q in _Plan(None, {}, self.params)._leaves(query)):
+        if columns_of(query) != {column}:
+            return search(table.to_df(system=True), query, limit, "_rowid", self.params)
+        plan = _Plan(None, {}, self.params)
+        if not self.params.with_position and any(isinstance(q, PhraseQuery) for q in plan._leaves(query)):
             raise ValueError("position is not found but required for phrase queries, try recreating the index with position")
-        covered = set(self.entry["fragments"])
-        rest = [f.id for f in table.manifest.fragments if f.id not in covered]
-        kept = table.spark.read.parquet(table.store.at(self.entry["path"]))
-        live = table.to_df(system=True, fragments=[f.id for f in table.manifest.fragments if f.id in covered])
-        docs = live.join(kept, "_rowaddr")
-        if rest and not fast:
-            docs = docs.unionByName(stash(table.to_df(system=True, fragments=rest).withColumn("terms", analyzer.terms(F.col(column), self.params))))
-        return search(docs, query, limit, "_rowid", self.params, {column: "terms"}).drop("terms")
+        live = [f.id for f in table.manifest.fragments]
+        covered = sorted(Planner(table)._covered(self.entry) & set(live))
+        rest = [] if fast else [f for f in live if f not in set(covered)]
+        postings, lengths = self._of_live("postings", covered), self._of_live("lengths", covered).select("dl")
+        vocabulary = postings.select(F.col("term").alias("t"))
+        fresh = None
+        if rest:
+            fresh = table.to_df(system=True, fragments=rest, columns=[column]).select("_rowaddr", analyzer.terms(F.col(column), self.params).alias("terms")).where("terms IS NOT NULL")
+            fresh = stash(fresh.select("_rowaddr", F.size("terms").alias("dl"), "terms"))
+            lengths, vocabulary = lengths.unionByName(fresh.select("dl")), vocabulary.unionByName(fresh.select(F.explode(F.transform("terms", lambda x: x["t"])).alias("t")))
+        terms = plan.expand(query, vocabulary)
+        total = lengths.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        own = postings.where(F.col("term").isin(sorted(terms)))
+        docs = own.groupBy("_rowaddr").agg(F.first("dl").alias("dl"), F.flatten(F.collect_list(F.transform("positions", lambda p: F.struct(F.col("term").alias("t"), p.alias("p"))))).alias("terms"))
+        if fresh is not None:
+            docs = docs.unionByName(fresh.select("_rowaddr", "dl", F.filter("terms", lambda x: x["t"].isin(sorted(terms))).alias("terms")).where("size(terms) > 0"))
+        plan.docs, plan.terms, plan.length, plan.total = stash(docs), {column: "terms"}, "dl", tuple(total)
+        plan.prepare(query)
+        best = plan.docs.select("_rowaddr", plan.score(query).alias("_score")).where("_score IS NOT NULL")
+        if limit is None:
+            return table.to_df(system=True, fragments=covered + rest).join(best, "_rowaddr")
+        # Ties at the edge stay until the rows' ids decide among them.
+        edge = best.orderBy(F.desc("_score")).limit(limit).agg(F.min("_score")).first()[0]
+        best = best.where(F.col("_score") >= F.lit(edge)) if edge is not None else best
+        few = best.limit(FETCHED + 1).collect()
+        fragments = covered + rest
+        if len(few) <= FETCHED:
+            best = F.broadcast(table.spark.createDataFrame([(r[0], r[1]) for r in few], "_rowaddr long, _score double"))
+            fragments = sorted({r[0] >> 32 for r in few})
+        return table.to_df(system=True, fragments=fragments).join(best, "_rowaddr").orderBy(F.desc("_score"), "_rowid").limit(limit)
 
     def postings(self) -> DataFrame:
         """(term, _rowaddr, tf, positions, dl)."""
-        rows = self.table.spark.read.parquet(self.table.store.at(self.entry["path"]))
-        one = rows.select("_rowaddr", F.size("terms").alias("dl"), F.explode("terms").alias("x"))
-        return one.groupBy(F.col("x.t").alias("term"), "_rowaddr").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("x.p")).alias("positions"), F.first("dl").alias("dl"))
+        rows = self.table.spark.read.parquet(self.table.store.at(f"{self.entry['path']}/postings"))
+        return rows.select("term", "_rowaddr", F.size("positions").cast("long").alias("tf"), "positions", "dl")

@@ -104,12 +104,39 @@ class Scan:
     def is_table(self) -> bool:
         return isinstance(self.source, Table)
 
-    def _base(self) -> DataFrame:
+    def _narrowed(self):
+        """What indexes leave to read for the filter, or None."""
+        how, text = self.how, self.how.get("filter")
+        text = text.get("expr_filter") if isinstance(text, dict) else text
+        if not self.is_table or not isinstance(text, str) or not text.strip() or not how.get("use_scalar_index", True) or not self.source.manifest.indexes:
+            return None
+        if (how.get("nearest") or how.get("full_text_query")) and not how.get("prefilter"):
+            return None
+        from brindle.plans.indexes import narrowed
+
+        return narrowed(self.source, text, covered_only=bool(how.get("fast_search")))
+
+    def _leading(self) -> list[int] | None:
+        """The first fragments that hold offset + limit rows, where nothing but the range chooses rows."""
+        how = self.how
+        if how.get("limit") is None or any(how.get(k) for k in ("filter", "order_by", "nearest", "full_text_query", "row_addr_allowlist", "row_addr_blocklist", "include_deleted_rows", "fragments")):
+            return None
+        chosen, rows = [], 0
+        for f in sorted(self.source.manifest.fragments, key=lambda f: f.id):
+            if rows >= how["limit"] + (how.get("offset") or 0):
+                break
+            chosen.append(f.id)
+            rows += f.live
+        return chosen
+
+    def _base(self, narrowed=None) -> DataFrame:
         how = self.how
         if not self.is_table:
             return self.source
         fragments = how.get("fragments")
-        fragments = None if fragments is None else [getattr(f, "id", f) for f in fragments]
+        fragments = self._leading() if fragments is None else [getattr(f, "id", f) for f in fragments]
+        if narrowed is not None:
+            fragments = narrowed.fragments if fragments is None else [f for f in fragments if f in set(narrowed.fragments)]
         df = self.source.to_df(system=True, fragments=fragments, deleted=bool(how.get("include_deleted_rows")), columns=self._needed())
         for key, kind in (("row_addr_allowlist", "left_semi"), ("row_addr_blocklist", "left_anti")):
             mask = how.get(key)
@@ -129,17 +156,15 @@ class Scan:
         used |= {getattr(k, "column", k[0] if isinstance(k, tuple) else k) for k in how.get("order_by") or []}
         return [n for n in names if n in used or n.lower() in {u.lower() for u in used}]
 
-    def _filtered(self, df: DataFrame) -> DataFrame:
+    def _filtered(self, df: DataFrame, narrowed=None) -> DataFrame:
         text = self.how.get("filter")
         if text is None or isinstance(text, str) and not text.strip():
             return df
         if isinstance(text, dict):  # the matches of a text query as a filter
-            df = self.with_(filter=text.get("expr_filter"))._filtered(df)
+            df = self.with_(filter=text.get("expr_filter"))._filtered(df, narrowed)
             return self._text_filter(df, text["search_filter"]) if text.get("search_filter") is not None else df
-        if self.is_table and self.how.get("use_scalar_index", True) and self.source.manifest.indexes:
-            from brindle.plans.indexes import narrow
-
-            df = narrow(self.source, df, text, covered_only=bool(self.how.get("fast_search")))
+        if narrowed is not None:
+            df = narrowed.apply(df)
         return df.where(emit.condition(text, df.schema, df.sparkSession))
 
     @staticmethod
@@ -150,12 +175,13 @@ class Scan:
 
     def to_df(self) -> DataFrame:
         how = self.how
-        df = self._base()
+        narrowed = self._narrowed()
+        df = self._base(narrowed)
         if how.get("nearest"):
-            return self._search(df, "_distance")
+            return self._search(df, "_distance", narrowed)
         if how.get("full_text_query") is not None:
-            return self._search(df, "_score")
-        df = self._filtered(df)
+            return self._search(df, "_score", narrowed)
+        df = self._filtered(df, narrowed)
         if isinstance(how.get("columns"), list) and "_rowoffset" in how["columns"]:
             df = self._with_offset(df)
         ordered = bool(how.get("order_by")) or how.get("limit") is not None or bool(how.get("offset"))
@@ -203,14 +229,14 @@ class Scan:
         lead = ["query_index"] if "query_index" in df.columns else []
         return project(df, [*lead, *columns, *(c for c in extra if c not in columns)], df.schema)
 
-    def _search(self, df: DataFrame, score: str) -> DataFrame:
+    def _search(self, df: DataFrame, score: str, narrowed) -> DataFrame:
         from brindle.operators import fts, vector
 
         how = self.how
         if isinstance(how.get("filter"), str) and any(c in _ADDRESSES for c in parse(how["filter"]).columns() if how["filter"].strip()):
             raise Unsupported("a search can't be filtered by row addresses")
         pre = bool(how.get("prefilter"))
-        df = self._filtered(df) if pre else df
+        df = self._filtered(df, narrowed) if pre else df
         key = "_rowid" if self.is_table else how.get("row_key")
         if score == "_distance":
             spec = dict(how["nearest"])
@@ -233,27 +259,57 @@ class Scan:
     def count_rows(self) -> int:
         if self.is_table and not any(self.how.get(k) for k in ("filter", "fragments", "row_addr_allowlist", "row_addr_blocklist", "limit", "offset", "nearest", "full_text_query", "include_deleted_rows")):
             return self.source.manifest.rows
-        return self.with_(columns=None).to_df().count()
+        others = ("fragments", "row_addr_allowlist", "row_addr_blocklist", "limit", "offset", "nearest", "full_text_query", "include_deleted_rows", "fast_search")
+        if self.is_table and isinstance(self.how.get("filter"), str) and self.how.get("use_scalar_index", True) and self.source.manifest.indexes and not any(self.how.get(k) for k in others):
+            from brindle.plans.indexes import count
 
-    def to_arrow(self):
-        return self.to_df().toArrow()
+            known = count(self.source, self.how["filter"])
+            if known is not None:
+                return known
+        return self.with_(columns=None).to_df().count()
 
-    def to_pandas(self):
-        return self.to_df().toPandas()
+    def head(self, n: int):
+        """The first n rows as an Arrow table."""
+        limit = self.how.get("limit")
+        return self.with_(limit=n if limit is None else min(n, limit)).to_arrow()
+
+    def analyze(self) -> str:
+        """The plan as it was run, with the rows and times that its operators measured."""
+        plan = self.to_df()._jdf.queryExecution().executedPlan()
+        plan.execute().count()
+        lines: list[str] = []
+
+        def walk(node, depth: int) -> None:
+            if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+                node = node.executedPlan()
+            found = node.metrics().toSeq()
+            told = sorted(f"{found.apply(k)._1()}={found.apply(k)._2().value()}" for k in range(found.size()) if found.apply(k)._2().value() > 0)
+            lines.append("  " * depth + node.nodeName() + (f" [{', '.join(told)}]" if told else ""))
+            under = node.children()
+            inner = [node.plan()] if node.getClass().getSimpleName().endswith("QueryStageExec") else [under.apply(k) for k in range(under.size())]
+            for x in inner:
+                walk(x, depth + 1)
+
+        walk(plan, 0)
+        return "\n".join(lines)
 
     def to_batches(self):
-        """Arrow batches of at most batch_size rows, a partition at a time."""
+        """Arrow batches of at most batch_size rows, a partition at a time; they travel as Arrow, not row by row."""
         import pyarrow as pa
 
         df, size = self.to_df(), self.how.get("batch_size") or 8192
-        held: list = []
-        for row in df.toLocalIterator(prefetchPartitions=True):
-            held.append(row.asDict(recursive=True))
-            if len(held) == size:
-                yield pa.RecordBatch.from_pylist(held)
-                held = []
-        if held:
-            yield pa.RecordBatch.from_pylist(held)
+
+        def pack(batches):
+            for b in batches:
+                for k in range(0, b.num_rows, size):
+                    part = b.slice(k, size)
+                    out = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(out, part.schema) as w:
+                        w.write_batch(part)
+                    yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["b"])
+
+        for row in df.mapInArrow(pack, "b binary").toLocalIterator(prefetchPartitions=True):
+            yield from pa.ipc.open_stream(row["b"])
 
     def explain(self) -> str:
         return self.to_df()._jdf.queryExecution().toString()

@@ -21,6 +21,7 @@ from brindle.functions.dialect import Unsupported
 
 METRICS = ("l2", "cosine", "dot", "hamming")
 _ALIASES = {"euclidean": "l2", "ip": "dot"}
+#: The names of a search's settings.
 KEYS = {
     "column", "q", "k", "metric", "nprobes", "minimum_nprobes", "maximum_nprobes", "refine_factor", "use_index", "ef", "query_parallelism", "approx_mode", "distance_range",
 }
@@ -221,55 +222,171 @@ def probes(centroids: np.ndarray, q: np.ndarray, n: int, metric: str = "l2") ->
     return np.argsort(d, kind="stable")[:n].tolist()
 
 
+class Quantizer:
+    """Vectors as bytes. PQ: the nearest of 256 codewords for each run of dimensions; SQ: each dimension in 256 steps."""
+
+    def __init__(self, kind: str, books: np.ndarray):
+        self.kind, self.books = kind, books  # PQ: (runs, codewords, width); SQ: (2, dimensions), low and step
+
+    @classmethod
+    def train(cls, x: np.ndarray, kind: str, sub_vectors: int | None = None) -> "Quantizer":
+        if kind == "SQ":
+            low = x.min(0)
+            return cls(kind, np.stack([low, np.maximum((x.max(0) - low) / 255, 1e-12)]))
+        d = x.shape[1]
+        m = sub_vectors or next(m for m in (d // 8, d // 4, d // 2, 1) if m and d % m == 0)
+        if d % m:
+            raise ValueError(f"{d} dimensions don't split into {m} sub-vectors")
+        books = [kmeans(part, 256, 12) for part in np.split(x, m, axis=1)]
+        return cls(kind, np.stack([np.r_[c, np.repeat(c[:1], 256 - len(c), axis=0)] for c in books]))
+
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        if self.kind == "SQ":
+            return np.clip(np.rint((x - self.books[0]) / self.books[1]), 0, 255).astype(np.uint8)
+        parts = np.split(x, len(self.books), axis=1)
+        return np.stack([(-2 * p @ c.T + (c**2).sum(1)[None, :]).argmin(1) for p, c in zip(parts, self.books, strict=True)], axis=1).astype(np.uint8)
+
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        if self.kind == "SQ":
+            return self.books[0] + codes * self.books[1]
+        return np.concatenate([c[codes[:, k]] for k, c in enumerate(self.books)], axis=1)
+
+
+def _sample(df: DataFrame, column: str, rows: int, metric: str) -> np.ndarray:
+    got = df.where(F.col(emit.quote(column)).isNotNull()).select(F.col(emit.quote(column)).cast("array<double>").alias("v")).orderBy(F.xxhash64("v")).limit(rows).toArrow()
+    x = np.array(got["v"].to_pylist(), np.float64)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) if metric == "cosine" else x
+
+
 class IvfIndex:
-    """Vectors of a table version in files partitioned by centroid; answers are exact over the probed parts.
+    """Vectors of a table version in files partitioned by centroid; a search reads the probed parts and the rows found.
 
-    Serves every inverted-file kind: parts are searched flat, so no quantised distance has to be refined.
+    IVF_FLAT parts hold the vectors, and answers are exact over them. IVF_PQ and IVF_SQ parts hold quantised codes:
+    distances are those of the decoded vectors, or exact ones of k * refine_factor candidates that are read again. The
+    HNSW and RQ kinds are kept as IVF_SQ and IVF_PQ: a graph walk is no gain over the scan of a part by many tasks.
     """
 
     def __init__(self, table, entry: dict):
         self.table, self.entry = table, entry
         self.model = json.loads(table.store.read(f"{entry['path']}/model.json"))
         self.centroids = np.array(self.model["centroids"])
+        self.quantizer = Quantizer(self.model["quantizer"], np.array(self.model["books"])) if self.model.get("quantizer") else None
 
     @classmethod
-    def build(cls, table, column: str, name: str | None = None, metric: str = "l2", partitions: int | None = None, sample_rate: int = SAMPLE_RATE, kind: str = "IVF_FLAT") -> "IvfIndex":
+    def build(cls, table, column: str, name: str | None = None, metric: str = "l2", partitions: int | None = None, sample_rate: int = SAMPLE_RATE, kind: str = "IVF_FLAT", sub_vectors: int | None = None) -> "IvfIndex":
         df = table.to_df(system=True, columns=[column]).select("_rowaddr", column)
         centroids = train_ivf(df, column, partitions, metric, sample_rate)
         path = f"_indices/{uuid.uuid4().hex}"
+        model = {"centroids": centroids.tolist(), "metric": metric}
         made = assign(df, column, centroids, metric).where("_part IS NOT NULL")
+        quantizer = None
+        if kind.endswith(("PQ", "RQ", "SQ")):
+            quantizer = Quantizer.train(_sample(df, column, 256 * sample_rate // 4, metric), "SQ" if kind.endswith("SQ") else "PQ", sub_vectors)
+            model |= {"quantizer": quantizer.kind, "books": quantizer.books.tolist()}
+            made = _encoded(made, column, quantizer, centroids.shape[1], metric)
         made.repartition("_part", F.pmod(F.xxhash64("_rowaddr"), F.lit(8))).write.partitionBy("_part").parquet(table.store.at(f"{path}/parts"))
-        table.store.replace(f"{path}/model.json", json.dumps({"centroids": centroids.tolist(), "metric": metric}))
+        table.store.replace(f"{path}/model.json", json.dumps(model))
         from brindle.plans.indexes import register
 
         return cls(table, register(table, {"name": name or f"{column}_idx", "column": column, "kind": kind, "path": path, "metric": metric}))
 
+    def _parts(self) -> DataFrame:
+        return self.table.spark.read.parquet(self.table.store.at(f"{self.entry['path']}/parts"))
+
     def partition_sizes(self) -> DataFrame:
-        return self.table.spark.read.parquet(self.table.store.at(f"{self.entry['path']}/parts")).groupBy("_part").count()
+        return self._parts().groupBy("_part").count()
+
+    def partition(self, number: int) -> DataFrame:
+        """The entries of one part: _rowaddr, and the vector or its code."""
+        return self._parts().where(F.col("_part") == number).drop("_part")
+
+    def _live(self, parts: list[int], covered: list[int]) -> DataFrame:
+        """(_rowaddr, vector) of the parts' live rows; a code is decoded."""
+        table, column = self.table, self.entry["column"]
+        probed = self._parts().where(F.col("_part").isin(parts)).drop("_part").where(F.shiftright("_rowaddr", 32).isin(covered))
+        if table.manifest.deletions:
+            gone = table.spark.read.parquet(*[table.store.at(d["path"]) for d in table.manifest.deletions]).select(F.col("addr").alias("_rowaddr"))
+            probed = probed.join(gone, "_rowaddr", "left_anti")
+        if self.quantizer is None:
+            return probed.select("_rowaddr", column)
+        quantizer, width = self.quantizer, len(self.quantizer.books) if self.quantizer.kind == "PQ" else self.centroids.shape[1]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                codes = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, width)
+                x = quantizer.decode(codes).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), pa.list_(pa.float32()))], names=["_rowaddr", column])
+
+        return probed.select("_rowaddr", "code").mapInArrow(run, T.StructType([T.StructField("_rowaddr", T.LongType()), T.StructField(column, T.ArrayType(T.FloatType()))]))
 
     def search(self, spec: dict, filter: str | None = None, fast: bool = False) -> DataFrame:
-        """Nearest rows: the probed parts, and every row of fragments that the index doesn't cover unless fast."""
+        """Nearest rows: of the probed parts, and of the fragments that the index doesn't cover unless fast.
+
+        nprobes parts are probed, or minimum_nprobes and twice as many each time while fewer than k rows are found, to
+        maximum_nprobes. k is the driver's bound: so many addresses are fetched, and only their fragments are read.
+        """
+        from brindle.plans.indexes import Planner
+
         table, column = self.table, self.entry["column"]
         spec = validate(spec | {"column": column}, table.schema[column].dataType)
+        plain = {k: v for k, v in spec.items() if k in KEYS}
         if spec["metric"] != self.model["metric"]:
-            return nearest(table.to_df(system=True), {k: v for k, v in spec.items() if k in KEYS}, "_rowid")
+            df = table.to_df(system=True)
+            return nearest(df.where(emit.condition(filter, df.schema)) if filter else df, plain, "_rowid")
         q, batch = _queries(spec, False)
         if batch:
             raise Unsupported("search the index with one query at a time")
-        n = spec.get("nprobes") or spec.get("minimum_nprobes") or max(1, round(len(self.centroids) ** 0.5))
-        if spec.get("maximum_nprobes"):
-            n = min(n, spec["maximum_nprobes"])
-        parts = probes(self.centroids, q[0], n, self.model["metric"])
-        covered = set(self.entry["fragments"])
-        probed = table.spark.read.parquet(table.store.at(f"{self.entry['path']}/parts")).where(F.col("_part").isin(parts)).drop("_part")
-        live = table.to_df(system=True, fragments=[f.id for f in table.manifest.fragments if f.id in covered])
-        df = live.join(probed.select("_rowaddr"), "_rowaddr", "left_semi")
-        rest = [f.id for f in table.manifest.fragments if f.id not in covered]
-        if rest and not fast:
-            df = df.unionByName(table.to_df(system=True, fragments=rest))
+        live = [f.id for f in table.manifest.fragments]
+        covered = sorted(Planner(table)._covered(self.entry) & set(live))
+        rest = [] if fast else [f for f in live if f not in set(covered)]
+        allowed = None
         if filter:
-            df = df.where(emit.condition(filter, df.schema))
-        return nearest(df, {k: v for k, v in spec.items() if k in KEYS}, "_rowid")
+            every = table.to_df(system=True, fragments=covered + rest)
+            allowed = every.where(emit.condition(filter, every.schema)).select("_rowaddr")
+        fixed = spec.get("nprobes")
+        n = fixed or spec.get("minimum_nprobes") or max(1, round(len(self.centroids) ** 0.5))
+        most = min(len(self.centroids), n if fixed else spec.get("maximum_nprobes") or len(self.centroids))
+        wide = spec["k"] * (spec.get("refine_factor") or 1) if self.quantizer else spec["k"]
+        while True:
+            n = min(n, most)
+            vectors = self._live(probes(self.centroids, q[0], n, self.model["metric"]), covered)
+            if rest and not self.quantizer:
+                vectors = vectors.unionByName(table.to_df(system=True, fragments=rest, columns=[column]).select("_rowaddr", column))
+            vectors = vectors if allowed is None else vectors.join(allowed, "_rowaddr", "left_semi")
+            best = nearest(vectors, plain | {"k": wide}, "_rowaddr").select("_rowaddr", "_distance").collect()
+            if n == most or len(best) >= spec["k"]:
+                break
+            n *= 2
+        if self.quantizer and (rest or spec.get("refine_factor")):
+            # Candidates' own vectors, and those of rows that have no code.
+            some = table.to_df(system=True, fragments=sorted({r[0] >> 32 for r in best} | set(rest)), columns=[column])
+            own = some.where(F.shiftright("_rowaddr", 32).isin(rest)) if rest else some.limit(0)
+            own = own if allowed is None else own.join(allowed, "_rowaddr", "left_semi")
+            known = table.spark.createDataFrame([(r[0], r[1]) for r in best], "_rowaddr long, _distance double")
+            if spec.get("refine_factor"):
+                own = own.unionByName(some.join(F.broadcast(known.select("_rowaddr")), "_rowaddr", "left_semi")).dropDuplicates(["_rowaddr"])
+                best = nearest(own.select("_rowaddr", column), plain, "_rowaddr").select("_rowaddr", "_distance").collect()
+            else:
+                more = nearest(own.select("_rowaddr", column), plain, "_rowaddr").select("_rowaddr", "_distance")
+                best = known.unionByName(more).orderBy(F.col("_distance").asc_nulls_last(), "_rowaddr").limit(spec["k"]).collect()
+        found = table.spark.createDataFrame([(r[0], r[1]) for r in best], "_rowaddr long, _distance double")
+        return table.to_df(system=True, fragments=sorted({r[0] >> 32 for r in best})).join(F.broadcast(found), "_rowaddr")
+
+
+def _encoded(df: DataFrame, column: str, quantizer: Quantizer, width: int, metric: str) -> DataFrame:
+    """(_rowaddr, _part, code) of assigned vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, rows = _matrix(b.column(2), width, False)
+            x = x.astype(np.float64)
+            if metric == "cosine":
+                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+            code = quantizer.encode(x) if len(x) else np.zeros((0, 1), np.uint8)
+            at = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([c.tobytes() for c in code], pa.binary())], names=["_rowaddr", "_part", "code"])
+
+    return df.select("_rowaddr", "_part", column).mapInArrow(run, "_rowaddr long, _part int, code binary")
 
 
 # -- binary signatures --------------------------------------------------------------------------------------

@@ -1,11 +1,13 @@
 """Scalar indexes as side tables, and which rows a filter can have by them.
 
-An index narrows and never changes an answer: scans join its candidates and apply the whole filter again.
-Fragments that an index doesn't cover are read whole.
+An index narrows and never changes an answer: scans read only the fragments that hold its candidates, join these and
+apply the whole filter again. Fragments that an index doesn't cover are read whole. A count that an index answers
+exactly reads no data file.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass
 from functools import reduce
@@ -14,13 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.functions import emit
+from brindle.functions import emit, json_path
 from brindle.functions.dialect import Node, parse
 
 KINDS = ("BTREE", "BITMAP", "LABEL_LIST", "ZONEMAP", "BLOOMFILTER", "NGRAM", "JSON")
 ZONE = 8192
 BLOOM_BITS, BLOOM_HASHES = 131_072, 7
-CANDIDATES = 5_000_000  # that are joined by broadcast at most
+INLINE = 10_000  # candidates that are fetched at most; more stay a table, of which only the fragments' numbers are
 
 
 def register(table, entry: dict) -> dict:
@@ -111,11 +113,15 @@ def optimize(table) -> None:
 
 @dataclass
 class Candidates:
-    """Addresses (addr) that may match, and the fragments for which that is known; zones: (frag, zone) instead."""
+    """Addresses (addr) that may match, and the fragments for which that is known; zones: (frag, zone) instead.
+
+    exact: just these rows match, but for deleted ones.
+    """
 
     rows: DataFrame
     covered: set[int]
     zones: bool = False
+    exact: bool = False
 
 
 def _literal(n: Node):
@@ -152,26 +158,55 @@ class Planner:
         if node.op == "and":
             a, b = map(self.plan, node.args)
             if a is None or b is None or a.zones != b.zones:
-                return a or b
+                one = a or b if a is None or b is None else b if a.zones else a
+                return one and Candidates(one.rows, one.covered, one.zones)
             key = ["frag", "zone"] if a.zones else ["addr"]
-            return Candidates(a.rows.join(b.rows, key, "left_semi"), a.covered & b.covered, a.zones)
+            return Candidates(a.rows.join(b.rows, key, "left_semi"), a.covered & b.covered, a.zones, a.exact and b.exact)
         if node.op == "or":
             a, b = map(self.plan, node.args)
             if a is None or b is None or a.zones != b.zones:
                 return None
-            return Candidates(a.rows.unionByName(b.rows).distinct(), a.covered & b.covered, a.zones)
+            return Candidates(a.rows.unionByName(b.rows).distinct(), a.covered & b.covered, a.zones, a.exact and b.exact)
         return self._lookup(node)
 
     def _lookup(self, node: Node) -> Candidates | None:
         column, op, values = self._predicate(node)
         if column is None:
-            return None
+            return self._json(node)
         for entry in self._entries(column, "BTREE", "BITMAP", "ZONEMAP", "BLOOMFILTER", "LABEL_LIST", "NGRAM"):
             got = self._answer(entry, op, values)
             if got is not None:
                 return got
         return None
 
+    def _json(self, node: Node) -> Candidates | None:
+        """A predicate over one JSON accessor: it is asked of the indexed values, each put back in its place."""
+        if node.op not in (*_FLIP, "in", "between", "like", "ilike"):
+            return None
+        calls = [a for a in node.args if a.op == "call"]
+        if len(calls) != 1 or not str(calls[0].value).startswith("json_") or any(not _literal(a)[0] for a in node.args if a is not calls[0]):
+            return None
+        accessor, (column, *where) = calls[0].value, calls[0].args
+        if column.op != "column" or len(where) != 1 or not isinstance(_literal(where[0])[1], str):
+            return None
+        try:
+            keys = json_path.steps(_literal(where[0])[1]) if accessor in ("json_extract",) else [_literal(where[0])[1]]
+        except ValueError:
+            return None
+        if accessor not in ("json_extract", "json_get", "json_get_string", "json_get_int", "json_get_float", "json_get_bool") or not all(isinstance(k, str) for k in keys):
+            return None
+        for entry in self._entries(column.value, "JSON"):
+            if json_path.steps(entry["json_path"]) != keys:
+                continue
+            lead = "".join("{" + json.dumps(k, ensure_ascii=False) + ":" for k in keys)
+            side = self._side(entry).where("value IS NOT NULL")
+            own = emit.resolve(column.value, self.names)
+            back = side.withColumn(own, F.concat(F.lit(lead), "value", F.lit("}" * len(keys))))
+            json_path.register(self.table.spark)
+            test = emit.Emitter(T.StructType([T.StructField(own, T.StringType())]))(node)[0]
+            return Candidates(back.where(F.expr(test)).select("addr"), self._covered(entry))
+        return None
+
     def _predicate(self, node: Node):
         """(column, operator, values) of a predicate that an index may answer."""
         args = node.args
@@ -211,12 +246,13 @@ class Planner:
             if isinstance(t, (T.FloatType, T.DecimalType)) and op != "null":
                 return None  # literals are rounded to the column's type first
             if op == "null":
-                return Candidates(side.where("value IS NULL").select("addr"), covered)
+                return Candidates(side.where("value IS NULL").select("addr"), covered, exact=True)
             if op not in plain or any(v is None for v in values):
                 return None
             if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) and not all(isinstance(v, int) and not isinstance(v, bool) for v in values):
                 return None
-            return Candidates(side.where(plain[op](F.col("value"), [lit(v) for v in values])).select("addr"), covered)
+            exact = isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.StringType, T.DateType))
+            return Candidates(side.where(plain[op](F.col("value"), [lit(v) for v in values])).select("addr"), covered, exact=exact)
         if kind == "LABEL_LIST":
             if op == "null":
                 return Candidates(side.where("none").select("addr").distinct(), covered)
@@ -257,20 +293,56 @@ def candidates(table, filter: str) -> Candidates | None:
     return Planner(table).plan(parse(filter))
 
 
-def narrow(table, df: DataFrame, filter: str, covered_only: bool = False) -> DataFrame:
-    """df (with _rowaddr) without rows that the indexes rule out."""
+class Narrowed:
+    """What the indexes leave of a table for a filter: the fragments to read, and which of their rows."""
+
+    def __init__(self, table, found: Candidates, covered_only: bool):
+        self.found = found
+        self.rest = [] if covered_only else [f.id for f in table.manifest.fragments if f.id not in found.covered]
+        self.rows = found.rows
+        if found.zones:
+            hit = {r[0] for r in found.rows.select("frag").distinct().collect()}  # a row a fragment
+        else:
+            few = found.rows.limit(INLINE + 1).collect()
+            if len(few) <= INLINE:
+                hit = {r[0] >> 32 for r in few}
+                self.rows = F.broadcast(table.spark.createDataFrame([(r[0],) for r in few], "addr long"))
+            else:
+                hit = {r[0] for r in found.rows.select(F.shiftright("addr", 32)).distinct().collect()}  # a row a fragment
+        live = {f.id for f in table.manifest.fragments}
+        self.fragments = sorted((hit & found.covered & live) | set(self.rest))
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        """df (of these fragments, with _rowaddr) without rows that the indexes rule out."""
+        frag = F.shiftright("_rowaddr", 32)
+        known = df.where(~frag.isin(self.rest)) if self.rest else df
+        if self.found.zones:
+            keys = known.withColumns({"frag": frag, "zone": F.floor(F.col("_rowaddr").bitwiseAND(0xFFFFFFFF) / ZONE).cast("int")})
+            known = keys.join(self.rows, ["frag", "zone"], "left_semi").drop("frag", "zone")
+        else:
+            known = known.join(self.rows.withColumnRenamed("addr", "_rowaddr"), "_rowaddr", "left_semi")
+        return known.unionByName(df.where(frag.isin(self.rest))) if self.rest else known
+
+
+def narrowed(table, filter: str, covered_only: bool = False) -> Narrowed | None:
+    """None where no index answers any part of the filter."""
     found = candidates(table, filter)
-    if found is None:
-        return df
-    frag = F.shiftright("_rowaddr", 32)
-    rest = [f.id for f in table.manifest.fragments if f.id not in found.covered]
-    if found.zones:
-        keys = df.withColumns({"frag": frag, "zone": F.floor(F.col("_rowaddr").bitwiseAND(0xFFFFFFFF) / ZONE).cast("int")})
-        hit = keys.join(found.rows, ["frag", "zone"], "left_semi").drop("frag", "zone")
-    else:
-        hit = df.join(found.rows.withColumnRenamed("addr", "_rowaddr"), "_rowaddr", "left_semi")
-    hit = hit.where(~frag.isin(rest)) if rest else hit
-    return hit if covered_only or not rest else hit.unionByName(df.where(frag.isin(rest)))
+    return None if found is None else Narrowed(table, found, covered_only)
+
+
+def count(table, filter: str) -> int | None:
+    """The rows that match, from the indexes alone; None where they don't answer exactly for all fragments."""
+    found = candidates(table, filter)
+    if found is None or not found.exact or any(f.id not in found.covered for f in table.manifest.fragments):
+        return None
+    live = [f.id for f in table.manifest.fragments]
+    rows = found.rows
+    gone = {f for f in found.covered if f not in set(live)}
+    if gone:
+        rows = rows.where(~F.shiftright("addr", 32).isin(sorted(gone)))
+    if table.manifest.deletions:
+        rows = rows.join(table.spark.read.parquet(*[table.store.at(d["path"]) for d in table.manifest.deletions]).select("addr"), "addr", "left_anti")
+    return rows.count()
 
 
 def explain(table, filter: str) -> dict:
