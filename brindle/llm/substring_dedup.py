@@ -17,11 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.rows import join_counted, text_key
-from brindle.operators.graph import connected_components
 from brindle.session import scope, stash, unstash
 
 WINDOW, K = 50, 26  # consecutive vertices are WINDOW - K + 1 < K words apart at most
@@ -205,11 +204,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         seen = stash(rows.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_occurrences(bits), "vertex long, before long, after long, doc_id long, tkey long, pos int"))
         plain = (F.min("before") == F.max("before")) & (F.min("after") == F.max("after")) & (F.min("before") != 0) & (F.min("after") != 0)
         vertices = seen.groupBy("vertex").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("size"), F.min("before").alias("before"), F.min("after").alias("after"), plain.alias("plain"))
-        vertices = stash(vertices.where("low < high").drop("low", "high"))
-        # Edges that a nonbranching vertex links are of one path; the path's name is its least edge.
-        paths = connected_components(vertices.where("plain").select("before", "after"), "before", "after").withColumnsRenamed({"node": "after", "root": "path"})
-        named = vertices.join(paths, "after", "left").select("vertex", "size", F.when(F.col("plain"), F.coalesce("path", "after")).alias("path"))
-        marked = join_counted(seen.select("vertex", "doc_id", "tkey", "pos"), stash(named), ["vertex"], "size", F.struct("doc_id", "tkey", "pos"), "inner")
+        vertices = stash(vertices.where("low < high").drop("high"))
+        place = F.struct("doc_id", "tkey", "pos")
+        met = stash(join_counted(seen.select("vertex", "doc_id", "tkey", "pos"), vertices.withColumn("n", F.col("size")), ["vertex"], "size", place, "inner"))
+        # The smallest document spells each path in order. An edge joins a nonbranching vertex to the one before it, if that
+        # one is nonbranching too, else it is the first of a path, which it gives its name.
+        own = met.where("plain AND doc_id = low").groupBy("vertex", "before", "after", "doc_id", "n").agg(F.min(F.struct("tkey", "pos")).alias("at"))
+        linked = own.select(F.col("after").alias("before"), F.lit(True).alias("linked")).distinct()
+        along = Window.partitionBy("doc_id", "at.tkey").orderBy("at.pos")
+        first = F.when(F.col("linked").isNull(), F.col("vertex"))
+        paths = stash(own.join(linked, "before", "left").select("vertex", F.col("n").alias("size"), F.last(first, ignorenulls=True).over(along).alias("path")))
+        marked = join_counted(met.select("vertex", "doc_id", "tkey", "pos"), paths, ["vertex"], "size", place)
         marked = marked.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("pos", "path")).alias("marks"))
         flagged = rows.join(marked, ["doc_id", "tkey"]).dropDuplicates(["doc_id", "tkey"]).select("doc_id", "tkey", "text", F.col("marks.pos").alias("pos"), F.col("marks.path").alias("path"))
         found = stash(flagged.mapInArrow(_runs(bits, True), _FOUND))
