@@ -293,6 +293,12 @@ class Scan:
         walk(plan, 0)
         return "\n".join(lines)
 
+    def to_arrow(self):
+        return self.to_df().toArrow()
+
+    def to_pandas(self):
+        return self.to_df().toPandas()
+
     def to_batches(self):
         """Arrow batches of at most batch_size rows, a partition at a time; they travel as Arrow, not row by row."""
         import pyarrow as pa
