@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,12 +77,12 @@ class MergeInsert:
             out = out.unionByName(others)
         return out
 
-    def _when(self) -> Column | None:
-        if self._condition is None:
-            return None
+    def _decided(self, planned: DataFrame) -> DataFrame:
+        """planned with the condition's value as __when; both rows stand under the names that conditions use."""
         schema = T.StructType([T.StructField("source", self._row_type("s")), T.StructField("target", self._row_type("t"))])
         made, _ = emit.to_sql(self._condition, schema)
-        return F.expr(made.replace("`source`", "`s`").replace("`target`", "`t`"))
+        both = planned.select("*", F.col("s").alias("source"), F.col("t").alias("target"))
+        return both.withColumn("__when", F.expr(made)).drop("source", "target")
 
     def _row_type(self, side: str) -> T.DataType:
         return self._planned.schema[side].dataType
@@ -98,7 +98,9 @@ class MergeInsert:
         planned = self.plan(source)
         self._planned = planned
         matched = F.col("s").isNotNull() & F.col("t").isNotNull()
-        when = self._when()
+        when = None
+        if self._condition is not None:
+            planned, when = self._decided(planned), F.col("__when")
         action = F.when(matched, F.lit(self._matched or "none") if when is None else F.when(F.coalesce(when, F.lit(False)), F.lit("update")).otherwise("none"))
         action = action.when(F.col("t").isNull(), F.lit("insert" if self._insert else "none"))
         if self._by_source is not None:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 
 def order_hash(keys: list[str], seed: int):
-    """A seeded order of rows that doesn't depend on partitions."""
-    return F.xxhash64(*keys, F.lit(seed))
+    """A seeded order of rows that doesn't depend on partitions: the MD5 of the keys and the seed as text, with | between."""
+    return F.md5(F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], F.lit(str(seed))))
 
 
 def sample(df: DataFrame, n: int, keys: list[str], seed: int = 0, shuffled: bool = False) -> DataFrame:
@@ -64,3 +64,10 @@ def per_group(df: DataFrame, group: str, n: int, keys: list[str], seed: int = 0)
     """n rows of each group."""
     w = Window.partitionBy(group).orderBy(order_hash(keys, seed), *keys)
     return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")
+
+
+def rand_batches(df: DataFrame, position: str, batch: int, count: int, keys: list[str], seed: int = 0) -> DataFrame:
+    """`count` whole batches of rows by position, chosen at random without replacement, with their number as _batch."""
+    numbered = df.withColumn("_batch", F.floor(F.col(position) / batch))
+    chosen = numbered.select("_batch").distinct().orderBy(order_hash(["_batch"], seed)).limit(count)
+    return numbered.join(F.broadcast(chosen), "_batch", "left_semi").orderBy(order_hash(["_batch"], seed), *keys)

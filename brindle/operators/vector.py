@@ -400,16 +400,17 @@ def sign_bits(column: str) -> Column:
 def hamming_components(df: DataFrame, key: str, bits: str, most: int) -> DataFrame:
     """(key, component): rows whose signatures are linked by differences of at most `most` bits, smallest key as class.
 
-    Equal signatures are one node, and two within `most` bits share one of most + 1 blocks whole, so rows meet
-    by equi-joins on blocks and never all with all.
+    Equal signatures are one node. Of most + 2 blocks two signatures within `most` bits share two whole, so rows meet by
+    equi-joins on pairs of blocks, which are long, and never all with all.
     """
     from brindle.operators.graph import connected_components
 
     nodes = df.where(F.col(bits).isNotNull()).groupBy(F.col(bits).alias("b")).agg(F.min(key).alias("low"))
-    cuts = [64 * k // (most + 1) for k in range(most + 2)]
-    blocks = [F.struct(F.lit(k).alias("n"), F.shiftrightunsigned(F.shiftleft("b", cuts[k]), 64 - (cuts[k + 1] - cuts[k])).alias("v")) for k in range(most + 1)]
-    rows = nodes.select("b", F.explode(F.array(*blocks)).alias("x")).select("b", "x.n", "x.v")
-    pairs = rows.alias("l").join(rows.alias("r"), ["n", "v"]).where("l.b < r.b").where(F.bit_count(F.col("l.b").bitwiseXOR(F.col("r.b"))) <= most)
+    cuts = [64 * k // (most + 2) for k in range(most + 3)]
+    block = [F.shiftrightunsigned(F.shiftleft("b", cuts[k]), 64 - (cuts[k + 1] - cuts[k])) for k in range(most + 2)]
+    both = [F.struct(F.lit(i * (most + 2) + j).alias("n"), block[i].alias("v"), block[j].alias("w")) for i in range(most + 2) for j in range(i + 1, most + 2)]
+    rows = nodes.select("b", F.explode(F.array(*both)).alias("x")).select("b", "x.n", "x.v", "x.w")
+    pairs = rows.alias("l").join(rows.alias("r"), ["n", "v", "w"]).where("l.b < r.b").where(F.bit_count(F.col("l.b").bitwiseXOR(F.col("r.b"))) <= most)
     roots = connected_components(pairs.select(F.col("l.b").alias("u"), F.col("r.b").alias("v")))
     named = nodes.join(roots.withColumnRenamed("node", "b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
     low = named.groupBy("root").agg(F.min("low").alias("component"))

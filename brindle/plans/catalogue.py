@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from brindle.operators import fts, sample, shard, vector
+from brindle.functions import analyzer
+from brindle.operators import fts, joins, sample, shard, vector
 from brindle.operators.scan import Ordering, Scan, slice_rows, take
 from brindle.plans import indexes
 from brindle.plans import sql as select
@@ -202,14 +203,13 @@ def row_address_mask(spark, sf_dir):
     return Scan(t, columns=["o_orderkey"], filter="o_totalprice > 1000", row_addr_allowlist=allowed).to_df()
 
 
-@query("SELECT l_returnflag, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL")
+@query("SELECT l_returnflag, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY md5(l_orderkey || '|' || l_linenumber || '|7'), l_orderkey, l_linenumber) <= 40")
 def sample_per_group(spark, sf_dir):
-    """Every row of each group: the sampler with a bound above the group's size keeps all."""
-    df = load(spark, sf_dir, "lineitem")
-    return sample.per_group(df, "l_returnflag", 10**9, ["l_orderkey", "l_linenumber"]).groupBy("l_returnflag").agg(F.count("*").alias("n"))
+    """40 rows of each group."""
+    return sample.per_group(load(spark, sf_dir, "lineitem"), "l_returnflag", 40, ["l_orderkey", "l_linenumber"], seed=7).select("l_returnflag", "l_orderkey", "l_linenumber")
 
 
-@query()
+@query("SELECT * FROM orders ORDER BY md5(o_orderkey || '|3'), o_orderkey LIMIT 100")
 def sample_rows(spark, sf_dir):
     return sample.sample(load(spark, sf_dir, "orders"), 100, ["o_orderkey"], seed=3)
 
@@ -349,9 +349,25 @@ def fts_multimatch(spark, sf_dir):
     return fts.search(load(spark, sf_dir, "pages"), q).select("page_id", F.round("_score", 6).alias("_score"))
 
 
-@query(f"WITH {_postings()}, t AS (SELECT DISTINCT unnest(w) AS x FROM d), k AS (SELECT x FROM t WHERE levenshtein(x, 'licence') <= 1 AND starts_with(x, 'lic')) SELECT DISTINCT id AS doc_id FROM d, k WHERE list_contains(w, x)")
+_FUZZY = "ln((n - k.df + 0.5) / (k.df + 0.5) + 1) * 2.2 * f / (f + 1.2 * (0.25 + 0.75 * l / a))"
+
+
+@query(f"WITH {_postings()}, p AS (SELECT id, x, count(*) AS f, any_value(l) AS l FROM (SELECT id, len(w) AS l, unnest(w) AS x FROM d) GROUP BY id, x), "
+       "k AS (SELECT x, count(*) AS df FROM p WHERE levenshtein(x, 'licence') <= 1 AND starts_with(x, 'lic') GROUP BY x ORDER BY x LIMIT 50) "
+       f"SELECT id AS doc_id, round(sum({_FUZZY}), 6) AS \"_score\" FROM p JOIN k USING (x), s GROUP BY id")
 def fts_fuzzy(spark, sf_dir):
-    return fts.search(load(spark, sf_dir, "documents"), _M("licence", "text", fuzziness=1, prefix_length=3)).select("doc_id")
+    return fts.search(load(spark, sf_dir, "documents"), _M("licence", "text", fuzziness=1, prefix_length=3)).select("doc_id", F.round("_score", 6).alias("_score"))
+
+
+@query(f"WITH {_postings()}, r AS (SELECT id AS doc_id, {_bm25('license')} + {_bm25('data')} AS x FROM d, s WHERE {_HAS('license')} OR {_HAS('data')}) SELECT doc_id, round(x, 6) AS \"_score\" FROM r ORDER BY x DESC, doc_id LIMIT 25")
+def fts_postings(spark, sf_dir):
+    """The best 25 by an index of postings over half of the documents and a scan of the other half, appended later."""
+    df = load(spark, sf_dir, "documents").select("doc_id", "text").orderBy("doc_id")
+    half = df.agg(F.expr("percentile_approx(doc_id, 0.5)")).first()[0]
+    t = versioned(df.where(F.col("doc_id") <= half).coalesce(1))
+    index = fts.TextIndex.build(t, "text", **{k: v for k, v in analyzer.PLAIN.__dict__.items()})
+    t.append(df.where(F.col("doc_id") > half).coalesce(1))
+    return fts.TextIndex(t, index.entry).search(_M("license data", "text"), 25).select("doc_id", F.round("_score", 6).alias("_score"))
 
 
 @query()
@@ -548,6 +564,24 @@ _indexed("index_label_list", "LABEL_LIST", "tags", "array_has_all(tags, ['red',
 _indexed("index_ngram", "NGRAM", "p_name", "contains(p_name, 'ue bol')", "contains(p_name, 'ue bol')")
 
 
+@query("SELECT event_id, event_type FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) = 7 OR CAST(json_extract(props, '$.k') AS BIGINT) BETWEEN 90 AND 95")
+def index_json(spark, sf_dir):
+    t = versioned(load(spark, sf_dir, "events"), rows_per_file=2000)
+    indexes.create(t, "props", "JSON", path="$.k")
+    return Scan(t, columns=["event_id", "event_type"], filter="json_get_int(props, 'k') = 7 OR json_get_int(props, 'k') BETWEEN 90 AND 95").to_df()
+
+
+@query("SELECT count(*)::BIGINT AS n FROM part WHERE p_partkey % 10 <> 3 AND (p_size BETWEEN 5 AND 9 OR p_brand = 'Brand#12')")
+def index_count(spark, sf_dir):
+    """Counted from the indexes' side tables and the deletions alone."""
+    t = versioned(load(spark, sf_dir, "part"), rows_per_file=700)
+    indexes.create(t, "p_size", "BTREE")
+    indexes.create(t, "p_brand", "BITMAP")
+    t.delete("p_partkey % 10 = 3")
+    n = indexes.count(t, "p_size BETWEEN 5 AND 9 OR p_brand = 'Brand#12'")
+    return spark.createDataFrame([(n,)], "n long")
+
+
 # -- ingestion, streaming -------------------------------------------------------------------------------------
 
 
@@ -612,9 +646,10 @@ def set_operations(spark, sf_dir):
 @query("WITH h AS (SELECT o_custkey AS s, l_suppkey AS t FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey = (SELECT min(o_custkey) FROM orders)) SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey IN (SELECT t FROM h)")
 def graph_one_hop(spark, sf_dir):
     t = lambda n: load(spark, sf_dir, n)
-    first = t("orders").agg(F.min("o_custkey")).first()[0]
-    edges = Scan(t("orders"), filter=f"o_custkey = {first}").to_df().join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("l_suppkey").alias("t"))
-    return t("supplier").join(edges, F.col("s_suppkey") == F.col("t"), "left_semi").select("s_suppkey", "s_name")
+    customer, supplier = (lambda c: F.concat(F.lit("c"), c)), (lambda c: F.concat(F.lit("s"), c))
+    seeds = t("orders").agg(customer(F.min("o_custkey")).alias("node"))
+    edges = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(customer("o_custkey").alias("src"), supplier("l_suppkey").alias("dst"))
+    return t("supplier").withColumn("node", supplier("s_suppkey")).join(joins.neighbours(seeds, edges), "node", "left_semi").select("s_suppkey", "s_name")
 
 
 @query("SELECT coalesce(p_brand, 'all') AS brand, coalesce(p_size, -1) AS size, count(*)::BIGINT AS n FROM part GROUP BY ROLLUP (p_brand, p_size)")
@@ -625,12 +660,10 @@ def rollup_parts(spark, sf_dir):
 
 @query("SELECT e.event_id, o.o_orderkey FROM events e ASOF LEFT JOIN (SELECT o_custkey, o_orderkey, o_orderdate + INTERVAL 9000 DAY AS at FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey DESC) = 1) o ON e.user_id = o.o_custkey AND e.ts >= o.at")
 def asof_join(spark, sf_dir):
-    """The last order of each user up to an event: one sort of both sides by user and time."""
-    e = load(spark, sf_dir, "events").select("user_id", F.col("ts").alias("at"), "event_id", F.lit(None).cast("long").alias("o_orderkey"))
-    o = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.expr("o_orderdate + INTERVAL 9000 DAY").alias("at"), F.lit(None).cast("long").alias("event_id"), "o_orderkey")
-    w = Window.partitionBy("user_id").orderBy("at", F.col("event_id").isNotNull(), "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
-    both = e.unionByName(o).withColumn("o_orderkey", F.last("o_orderkey", ignorenulls=True).over(w))
-    return both.where("event_id IS NOT NULL").select("event_id", "o_orderkey")
+    """The last order of each user up to an event."""
+    e = load(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").alias("at"))
+    o = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.expr("o_orderdate + INTERVAL 9000 DAY").alias("at"), "o_orderkey")
+    return joins.join_asof(e, o, "at", ["user_id"], ["o_orderkey"], ties="o_orderkey").select("event_id", "o_orderkey")
 
 
 

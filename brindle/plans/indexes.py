@@ -25,10 +25,10 @@ BLOOM_BITS, BLOOM_HASHES = 131_072, 7
 INLINE = 10_000  # candidates that are fetched at most; more stay a table, of which only the fragments' numbers are
 
 
-def register(table, entry: dict) -> dict:
-    """Commit an index over the version's fragments; one of the same name goes."""
+def register(table, entry: dict, fragments: list[int] | None = None) -> dict:
+    """Commit an index over the version's fragments, or some of them; one of the same name goes."""
     field = next(f["id"] for f in table.manifest.fields if f["name"] == entry["column"].partition(".")[0])
-    entry = entry | {"field": field, "fragments": [f.id for f in table.manifest.fragments], "version": table.version}
+    entry = entry | {"field": field, "fragments": [f.id for f in table.manifest.fragments] if fragments is None else sorted(fragments), "version": table.version}
 
     def change(old, number: int):
         old.indexes = [i for i in old.indexes if i["name"] != entry["name"]] + [entry]
@@ -39,13 +39,18 @@ def register(table, entry: dict) -> dict:
 
 
 def create(table, column: str, kind: str = "BTREE", name: str | None = None, path: str | None = None, fragments: list[int] | None = None) -> dict:
-    """Build the side table: (value, addr) in order of value, zones of a fragment, or trigrams."""
+    """Build the side table over the fragments, or some: (value, addr) in order of value, zones of a fragment, or trigrams."""
     kind = kind.upper()
     if kind not in KINDS:
         raise ValueError(f"unknown index kind {kind}")
+    folder = f"_indices/{uuid.uuid4().hex}"
+    _side(table, column, kind, path, fragments).write.parquet(table.store.at(f"{folder}/part-0"))
+    return register(table, {"name": name or f"{column}_idx", "column": column, "kind": kind, "path": folder, "parts": ["part-0"], "json_path": path}, fragments)
+
+
+def _side(table, column: str, kind: str, path: str | None, fragments: list[int] | None) -> DataFrame:
     df = table.to_df(system=True, fragments=fragments, columns=[column.partition(".")[0]]).select(F.col("_rowaddr").alias("addr"), F.col(column).alias("value"))
     t = df.schema["value"].dataType
-    folder = f"_indices/{uuid.uuid4().hex}"
     zone = [F.shiftright("addr", 32).alias("frag"), F.floor(F.col("addr").bitwiseAND(0xFFFFFFFF) / ZONE).cast("int").alias("zone")]
     if kind in ("BTREE", "BITMAP"):
         made = df.repartitionByRange("value", "addr").sortWithinPartitions("value", "addr")
@@ -64,8 +69,7 @@ def create(table, column: str, kind: str = "BTREE", name: str | None = None, pat
     else:
         made = table.to_df(system=True, fragments=fragments, columns=[column]).select(F.col("_rowaddr").alias("addr"), emit.column(f"json_extract({column}, '{path}')", table.schema, table.spark).alias("value"))
         made = made.repartitionByRange("value", "addr").sortWithinPartitions("value", "addr")
-    made.write.parquet(table.store.at(f"{folder}/part-0"))
-    return register(table, {"name": name or f"{column}_idx", "column": column, "kind": kind, "path": folder, "json_path": path})
+    return made
 
 
 def trigrams(col: Column) -> Column:
@@ -91,7 +95,7 @@ def describe(table) -> list[dict]:
 
 
 def optimize(table) -> None:
-    """Build anew the indexes that don't cover every fragment."""
+    """Cover every fragment: scalar indexes get a part for the new ones, text and vector indexes are built anew."""
     for entry in list(table.manifest.indexes):
         rest = [f.id for f in table.manifest.fragments if f.id not in set(entry["fragments"])]
         if not rest:
@@ -105,7 +109,13 @@ def optimize(table) -> None:
 
             IvfIndex.build(table, entry["column"], entry["name"], entry["metric"], kind=entry["kind"])
         else:
-            create(table, entry["column"], entry["kind"], entry["name"], entry.get("json_path"))
+            if Planner(table)._covered(entry) != set(entry["fragments"]):  # cells were set since; their old values are in a part
+                create(table, entry["column"], entry["kind"], entry["name"], entry.get("json_path"))
+                continue
+            part = f"part-{uuid.uuid4().hex}"
+            _side(table, entry["column"], entry["kind"], entry.get("json_path"), rest).write.parquet(table.store.at(f"{entry['path']}/{part}"))
+            live = {f.id for f in table.manifest.fragments}
+            register(table, {**entry, "parts": [*entry.get("parts", ["part-0"]), part]}, [f for f in [*entry["fragments"], *rest] if f in live])
 
 
 # -- candidates ---------------------------------------------------------------------------------------------
@@ -143,7 +153,7 @@ class Planner:
         self.names = table.schema.fieldNames()
 
     def _side(self, entry: dict) -> DataFrame:
-        return self.table.spark.read.parquet(self.table.store.at(f"{entry['path']}/part-0"))
+        return self.table.spark.read.parquet(*[self.table.store.at(f"{entry['path']}/{p}") for p in entry.get("parts", ["part-0"])])
 
     def _entries(self, column: str, *kinds: str) -> list[dict]:
         try:

@@ -55,17 +55,20 @@ class Table:
     # -- opening and writing -------------------------------------------------------------------------------
 
     @classmethod
-    def write(cls, df: DataFrame, root: str, mode: str = "create", stable_row_ids: bool = False, rows_per_file: int = ROWS_PER_FILE, message: str | None = None) -> "Table":
-        """create: the root must have no table; append; overwrite: a new version with df's schema and rows."""
+    def write(cls, df: DataFrame, root: str, mode: str = "create", stable_row_ids: bool = False, rows_per_file: int = ROWS_PER_FILE, message: str | None = None, config: dict[str, str] | None = None) -> "Table":
+        """create: the root must have no table; append; overwrite: a new version with df's schema and rows, and config."""
         spark = df.sparkSession
         log = Log(Store(spark, root))
+        log.extra = config or {}
         exists = bool(log.versions())
         if mode == "create" and exists:
             raise FileExistsError(f"there is a table at {root}")
         if mode not in ("create", "append", "overwrite"):
             raise ValueError(f"mode {mode!r}")
         if mode == "append" and exists:
-            return cls(spark, root).append(df, rows_per_file)
+            table = cls(spark, root)
+            table.log.extra = config or {}
+            return table.append(df, rows_per_file)
         base = log.read(log.latest()) if exists else None
         fields, ids = cls._fields(df.schema, 0 if base is None else base.next_field)
         files = cls._write_files(log.store, df.select(*[F.col(emit.quote(f["name"])).alias(f["column"]) for f in fields]), rows_per_file)

@@ -11,7 +11,7 @@ from brindle.sources.table import Table
 
 
 def _sink(stream: DataFrame, root: str, checkpoint: str, put, available_now: bool, every: str | None) -> StreamingQuery:
-    """Each micro-batch is one version; a batch that a restart brings again is known by its number and skipped."""
+    """Each micro-batch is one version, which holds its number: a batch that a restart brings again is skipped."""
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
@@ -19,8 +19,13 @@ def _sink(stream: DataFrame, root: str, checkpoint: str, put, available_now: boo
         table = Table(spark, root) if Store(spark, root).list("_versions") else None
         if table is not None and int(table.manifest.config.get(key, -1)) >= number:
             return
-        table = put(table, df)
-        table.config({key: str(number)})
+        mark = {key: str(number)}
+        if table is not None:
+            table.log.extra = mark
+        table = put(table, df, mark)
+        table.log.extra = {}
+        if table.manifest.config.get(key) != mark[key]:  # nothing was changed, so nothing was committed
+            table.config(mark)
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     if available_now:
@@ -32,17 +37,17 @@ def _sink(stream: DataFrame, root: str, checkpoint: str, put, available_now: boo
 
 def append_stream(stream: DataFrame, root: str, checkpoint: str, available_now: bool = True, every: str | None = None) -> StreamingQuery:
     """Micro-batches as appended versions; the first makes the table."""
-    return _sink(stream, root, checkpoint, lambda t, df: Table.write(df, root) if t is None else t.append(df), available_now, every)
+    return _sink(stream, root, checkpoint, lambda t, df, mark: Table.write(df, root, config=mark) if t is None else t.append(df), available_now, every)
 
 
 def merge_stream(stream: DataFrame, root: str, checkpoint: str, on: str | list[str], available_now: bool = True, every: str | None = None) -> StreamingQuery:
     """Micro-batches as upserts by key; of a batch's rows that repeat a key one counts."""
     keys = [on] if isinstance(on, str) else on
 
-    def put(table: Table | None, df: DataFrame) -> Table:
+    def put(table: Table | None, df: DataFrame, mark: dict[str, str]) -> Table:
         df = df.dropDuplicates(keys)
         if table is None:
-            return Table.write(df, root, stable_row_ids=True)
+            return Table.write(df, root, stable_row_ids=True, config=mark)
         table.merge_insert(keys).when_matched_update_all().when_not_matched_insert_all().execute(df)
         return table
 
