@@ -13,6 +13,8 @@ from brindle.functions import emit
 from brindle.functions.dialect import DialectError, Unsupported, parse
 from brindle.sources.table import SYSTEM, Table
 
+#: How a scan gives out binary columns.
+BLOBS = ("all_binary", "blobs_descriptions", "all_descriptions")
 _ADDRESSES = ("_rowid", "_rowaddr", "_rowoffset")
 
 
@@ -39,6 +41,29 @@ def order_columns(schema: T.StructType, keys: list) -> list[Column]:
     return out
 
 
+def from_pyarrow(expression) -> str:
+    """The filter text of a pyarrow compute expression: comparisons, and, or, invert, is_null, is_valid, is_in, arithmetic."""
+    import re
+
+    text = str(expression)
+    text = re.sub(r",\s*\{nan_is_null=\w+\}", "", text)
+    strings: list[str] = []
+
+    def hold(m) -> str:
+        strings.append(m.group(0)[1:-1].replace('\\"', '"').replace("'", "''"))
+        return f"\x00{len(strings) - 1}\x00"
+
+    text = re.sub(r'"(?:[^"\\]|\\.)*"', hold, text)
+
+    def among(m) -> str:
+        values = ", ".join(x.strip() for x in m.group(2).split(","))
+        return f"({m.group(1)} IN ({values}))"
+
+    text = re.sub(r"is_in\(([\w.]+), \{value_set=[\w<>, ]*:?\[\s*([^\]]*?)\s*\][^}]*\}\)", among, text)
+    text = re.sub(r"\s+", " ", text).replace("==", "=")
+    return re.sub("\x00(\\d+)\x00", lambda m: "'" + strings[int(m.group(1))] + "'", text)
+
+
 def project(df: DataFrame, columns, schema: T.StructType) -> DataFrame:
     """Names, dotted paths and system columns (a list), or {alias: expression} in its order."""
     if columns is None:
@@ -73,10 +98,12 @@ class Scan:
 
     KNOWN = {
         "columns", "filter", "limit", "offset", "order_by", "nearest", "full_text_query", "prefilter", "with_row_id", "with_row_address", "fragments", "include_deleted_rows",
-        "row_addr_allowlist", "row_addr_blocklist", "batch_size", "batch_size_bytes", "late_materialization", "use_scalar_index", "fast_search", "row_key", "disable_scoring_autoprojection",
+        "row_addr_allowlist", "row_addr_blocklist", "batch_size", "batch_size_bytes", "late_materialization", "use_scalar_index", "fast_search", "row_key", "disable_scoring_autoprojection", "blob_handling",
     }
 
     def __init__(self, source: Table | DataFrame, **how):
+        if type(how.get("filter")).__module__.startswith("pyarrow"):
+            how = how | {"filter": from_pyarrow(how["filter"])}
         unknown = set(how) - self.KNOWN
         if unknown:
             raise TypeError(f"unknown arguments: {sorted(unknown)}")
@@ -94,6 +121,8 @@ class Scan:
             raise Unsupported("one scan does one search; give the text query as a filter")
         if how.get("include_deleted_rows") and not how.get("with_row_id"):
             raise ValueError("include_deleted_rows needs with_row_id")
+        if how.get("blob_handling") not in (None, *BLOBS):
+            raise ValueError(f"blob_handling is one of {BLOBS}")
         self.source, self.how = source, how
 
     def with_(self, **more) -> "Scan":
@@ -214,8 +243,21 @@ class Scan:
         rank = F.row_number().over(Window.partitionBy("__f").orderBy("_rowaddr")) - 1
         return df.join(every.join(F.broadcast(known), "__f").select("_rowaddr", (F.col("__start") + rank).alias("_rowoffset")), "_rowaddr")
 
+    def _described(self, df: DataFrame) -> DataFrame:
+        """Blobs as (position, size), position being the row's address, where that is asked for."""
+        handling = self.how.get("blob_handling") or "all_binary"
+        if handling == "all_binary" or not self.is_table:
+            return df
+        flagged = {f["name"] for f in self.source.manifest.fields if str(f["metadata"].get("blob", "")).lower() == "true"}
+        for f in df.schema.fields:
+            if isinstance(f.dataType, T.BinaryType) and (handling == "all_descriptions" or f.name in flagged):
+                col = F.col(emit.quote(f.name))
+                df = df.withColumn(f.name, F.when(col.isNotNull(), F.struct(F.col("_rowaddr").alias("position"), F.octet_length(col).cast("long").alias("size"))))
+        return df
+
     def _shape(self, df: DataFrame, score: str | None = None) -> DataFrame:
         how = self.how
+        df = self._described(df)
         columns = how.get("columns")
         extra = [c for c, on in (("_rowid", how.get("with_row_id")), ("_rowaddr", how.get("with_row_address"))) if on]
         if score and not how.get("disable_scoring_autoprojection"):

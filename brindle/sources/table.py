@@ -123,6 +123,17 @@ class Table:
     def append(self, df: DataFrame, rows_per_file: int = ROWS_PER_FILE) -> "Table":
         """Rows by column name; columns that df lacks are null, others are refused."""
         m = self.manifest
+        files = self._write_files(self.store, self._aligned(df), rows_per_file)
+
+        def change(old: Manifest, number: int) -> Manifest:
+            self._add(old, files, number, _schema_of(old, m.fields))
+            return old
+
+        return self._again(self.log.commit(m, {"operation": "Append", "fragments": []}, change))
+
+    def _aligned(self, df: DataFrame) -> DataFrame:
+        """df with the columns of the table's files."""
+        m = self.manifest
         names = [f["name"] for f in m.fields]
         extra = [c for c in df.columns if c not in names]
         if extra:
@@ -135,13 +146,7 @@ class Table:
                 cols.append(F.lit(None).cast(_type(f)).alias(f["column"]))
             else:
                 raise ValueError(f"column {f['name']} can't be null")
-        files = self._write_files(self.store, df.select(*cols), rows_per_file)
-
-        def change(old: Manifest, number: int) -> Manifest:
-            self._add(old, files, number, _schema_of(old, m.fields))
-            return old
-
-        return self._again(self.log.commit(m, {"operation": "Append", "fragments": []}, change))
+        return df.select(*cols)
 
     # -- reading -------------------------------------------------------------------------------------------
 
