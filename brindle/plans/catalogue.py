@@ -52,6 +52,17 @@ def versioned(df: DataFrame, **how) -> Table:
     return Table.write(df, f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}", **how)
 
 
+_MADE: dict[tuple, object] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, make: Callable):
+    """What make() gives, made once a session: the set-up of queries that only read."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _MADE:
+        _MADE[key] = make()
+    return _MADE[key]
+
+
 # -- projection, filters, expressions -------------------------------------------------------------------------
 
 scanned(
@@ -292,13 +303,20 @@ def near_dup_clusters(spark, sf_dir):
 @query()
 def ivf_search(spark, sf_dir):
     """Every part probed, so the answer is the exact one."""
-    t = versioned(load(spark, sf_dir, "embeddings"))
-    index = vector.IvfIndex.build(t, "embedding", partitions=8)
+    index = once(spark, sf_dir, "ivf_search", lambda: vector.IvfIndex.build(versioned(load(spark, sf_dir, "embeddings")), "embedding", partitions=8))
     return index.search({"q": _Q, "k": 20, "nprobes": 8}).select("vec_id", F.round("_distance", 6).alias("_distance"))
 
 
 ORACLE["ivf_search"] = f"SELECT vec_id, round(d, 6) AS \"_distance\" FROM (SELECT *, {_DIST['l2']} AS d FROM embeddings) ORDER BY d, vec_id LIMIT 20"
 
+
+@query(f"SELECT vec_id, round(d, 6) AS \"_distance\" FROM (SELECT *, {_DIST['l2']} AS d FROM embeddings) ORDER BY d, vec_id LIMIT 20")
+def ivf_sq_refined(spark, sf_dir):
+    """Bytes for vectors in every part, and the best 20 of 200 candidates by their own vectors."""
+    index = once(spark, sf_dir, "ivf_sq_refined", lambda: vector.IvfIndex.build(versioned(load(spark, sf_dir, "embeddings")), "embedding", partitions=8, kind="IVF_SQ"))
+    return index.search({"q": _Q, "k": 20, "nprobes": 8, "refine_factor": 10}).select("vec_id", F.round("_distance", 6).alias("_distance"))
+
+
 # -- full text ------------------------------------------------------------------------------------------------
 
 _TERMS = {"a": "license", "b": "data", "c": "version"}
@@ -362,12 +380,14 @@ def fts_fuzzy(spark, sf_dir):
 @query(f"WITH {_postings()}, r AS (SELECT id AS doc_id, {_bm25('license')} + {_bm25('data')} AS x FROM d, s WHERE {_HAS('license')} OR {_HAS('data')}) SELECT doc_id, round(x, 6) AS \"_score\" FROM r ORDER BY x DESC, doc_id LIMIT 25")
 def fts_postings(spark, sf_dir):
     """The best 25 by an index of postings over half of the documents and a scan of the other half, appended later."""
-    df = load(spark, sf_dir, "documents").select("doc_id", "text").orderBy("doc_id")
-    half = df.agg(F.expr("percentile_approx(doc_id, 0.5)")).first()[0]
-    t = versioned(df.where(F.col("doc_id") <= half).coalesce(1))
-    index = fts.TextIndex.build(t, "text", **{k: v for k, v in analyzer.PLAIN.__dict__.items()})
-    t.append(df.where(F.col("doc_id") > half).coalesce(1))
-    return fts.TextIndex(t, index.entry).search(_M("license data", "text"), 25).select("doc_id", F.round("_score", 6).alias("_score"))
+    def make() -> fts.TextIndex:
+        df = load(spark, sf_dir, "documents").select("doc_id", "text").orderBy("doc_id")
+        half = df.agg(F.expr("percentile_approx(doc_id, 0.5)")).first()[0]
+        t = versioned(df.where(F.col("doc_id") <= half).coalesce(1))
+        index = fts.TextIndex.build(t, "text", **{k: v for k, v in analyzer.PLAIN.__dict__.items()})
+        return fts.TextIndex(t.append(df.where(F.col("doc_id") > half).coalesce(1)), index.entry)
+
+    return once(spark, sf_dir, "fts_postings", make).search(_M("license data", "text"), 25).select("doc_id", F.round("_score", 6).alias("_score"))
 
 
 @query()
@@ -546,12 +566,14 @@ def batch_udf_column(spark, sf_dir):
 
 def _indexed(name: str, kind: str, column: str, text: str, sql: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = load(spark, sf_dir, "part").withColumn("tags", F.split("p_name", " "))
-        t = versioned(df.where("p_partkey % 3 <> 0"), rows_per_file=700)
-        for c, k in zip(column.split(","), kind.split(","), strict=True):
-            indexes.create(t, c, k)
-        t.append(df.where("p_partkey % 3 = 0"))
-        return Scan(t, columns=["p_partkey", "p_size"], filter=text).to_df()
+        def make() -> Table:
+            df = load(spark, sf_dir, "part").withColumn("tags", F.split("p_name", " "))
+            t = versioned(df.where("p_partkey % 3 <> 0"), rows_per_file=700)
+            for c, k in zip(column.split(","), kind.split(","), strict=True):
+                indexes.create(t, c, k)
+            return t.append(df.where("p_partkey % 3 = 0"))
+
+        return Scan(once(spark, sf_dir, name, make), columns=["p_partkey", "p_size"], filter=text).to_df()
 
     QUERIES[name], ORACLE[name] = run, f"SELECT p_partkey, p_size FROM part WHERE {sql}"
 
@@ -566,18 +588,26 @@ _indexed("index_ngram", "NGRAM", "p_name", "contains(p_name, 'ue bol')", "contai
 
 @query("SELECT event_id, event_type FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) = 7 OR CAST(json_extract(props, '$.k') AS BIGINT) BETWEEN 90 AND 95")
 def index_json(spark, sf_dir):
-    t = versioned(load(spark, sf_dir, "events"), rows_per_file=2000)
-    indexes.create(t, "props", "JSON", path="$.k")
+    def make() -> Table:
+        t = versioned(load(spark, sf_dir, "events"), rows_per_file=2000)
+        indexes.create(t, "props", "JSON", path="$.k")
+        return t
+
+    t = once(spark, sf_dir, "index_json", make)
     return Scan(t, columns=["event_id", "event_type"], filter="json_get_int(props, 'k') = 7 OR json_get_int(props, 'k') BETWEEN 90 AND 95").to_df()
 
 
 @query("SELECT count(*)::BIGINT AS n FROM part WHERE p_partkey % 10 <> 3 AND (p_size BETWEEN 5 AND 9 OR p_brand = 'Brand#12')")
 def index_count(spark, sf_dir):
     """Counted from the indexes' side tables and the deletions alone."""
-    t = versioned(load(spark, sf_dir, "part"), rows_per_file=700)
-    indexes.create(t, "p_size", "BTREE")
-    indexes.create(t, "p_brand", "BITMAP")
-    t.delete("p_partkey % 10 = 3")
+    def make() -> Table:
+        t = versioned(load(spark, sf_dir, "part"), rows_per_file=700)
+        indexes.create(t, "p_size", "BTREE")
+        indexes.create(t, "p_brand", "BITMAP")
+        t.delete("p_partkey % 10 = 3")
+        return t
+
+    t = once(spark, sf_dir, "index_count", make)
     n = indexes.count(t, "p_size BETWEEN 5 AND 9 OR p_brand = 'Brand#12'")
     return spark.createDataFrame([(n,)], "n long")
 
