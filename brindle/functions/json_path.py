@@ -1,7 +1,7 @@
 """JSON accessors over JSON text.
 
-Plain keys and indices go by Spark's variant functions; wildcards, negative indices and the accessors that
-must tell JSON null from no value go by one Arrow UDF that evaluates the path.
+Plain keys and indices go by Spark's variant functions; wildcards, negative indices and json_array_contains, which
+compares values by their text, go by one Arrow UDF that evaluates the path.
 """
 
 from __future__ import annotations
@@ -149,4 +149,9 @@ def sql(name: str, args: list[str], keys: list) -> str:
     plain = _plain(keys[0] if isinstance(keys[0], str) else None)
     if name == "json_extract" and plain:
         return f"to_json(try_variant_get(parse_json({doc}), '{plain}', 'variant'))"
+    if plain and name in ("json_exists", "json_array_length"):
+        v = f"try_variant_get(parse_json({doc}), '{plain}', 'variant')"  # a JSON null is a value, not null
+        if name == "json_exists":
+            return f"(CASE WHEN {doc} IS NOT NULL THEN {v} IS NOT NULL END)"
+        return f"(CASE WHEN {v} IS NULL THEN NULL WHEN schema_of_variant({v}) LIKE 'ARRAY%' THEN cast(size(variant_get({v}, '$', 'array<variant>')) AS bigint) ELSE raise_error('the path does not point to an array') END)"
     return f"brindle_{name}({', '.join([doc, args[1], *(f'cast({x} AS string)' for x in args[2:])])})"

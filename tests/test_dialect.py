@@ -1,4 +1,5 @@
 import datetime
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,3 +90,19 @@ def test_overflow_is_an_error(spark):
     df = spark.createDataFrame([(2**63 - 1,)], "a long")
     with pytest.raises(Exception, match="overflow|OVERFLOW"):
         df.select(column("a + 1", df.schema), F.lit(1)).collect()
+
+
+@pytest.mark.parametrize("path", ["$.a", "$.b", "$.c.d", "$[0]", "$.l", "$.l[1]", "$", "$.n"])
+def test_json_paths_by_variant_and_by_the_path_walk(spark, path):
+    docs = ['{"a": null, "b": 1, "c": {"d": []}, "l": [1, [2, 3]]}', "[1, 2]", "3", "null", '{"l": []}', '{"l": {"1": 2}, "n": "x"}', None]
+    df = spark.createDataFrame([(k, d) for k, d in enumerate(docs)], "k int, j string")
+    for d, got in [(r.j, r) for r in df.select("j", column(f"json_exists(j, '{path}')", df.schema, spark).alias("e")).collect()]:
+        assert got.e == (None if d is None else bool(json_path.select(json.loads(d), path)))
+    for k, d in enumerate(docs):
+        found = [] if d is None else json_path.select(json.loads(d), path)
+        one = df.where(f"k = {k}").select(column(f"json_array_length(j, '{path}')", df.schema, spark).alias("n"))
+        if found and not isinstance(found[0], list):
+            with pytest.raises(Exception, match="array"):
+                one.collect()
+        else:
+            assert one.first().n == (len(found[0]) if found else None), (d, path)
