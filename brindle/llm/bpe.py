@@ -23,8 +23,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.rows import slices
+
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHED_WORDS = 250_000
+CACHED_WORDS, CACHED_ARCS = 200_000, 500_000
 LONGEST_CACHED = 64
 
 
@@ -95,7 +97,7 @@ class Automaton:
             else:
                 p = self.parent[p]
         self.arcs[key] = found
-        if len(self.arcs) > 4_000_000:
+        if len(self.arcs) > CACHED_ARCS:
             self.arcs.clear()
         return found
 
@@ -193,7 +195,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(path)
-        for b in batches:
+        for b in slices(batches):
             ids, n, a, d = [], [], [], []
             for value in b[1]:
                 code = coder.encode(value.as_py() or "")
@@ -205,7 +207,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             cols = [b[0]] + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []) + [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in schema.split(", ")])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, schema)
 
 
 def bpe_decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -213,7 +215,7 @@ def bpe_decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(path)
-        for b in batches:
+        for b in slices(batches):
             texts = [None if x is None else coder.decode(array("I", x).tobytes()) for x in b[1].to_pylist()]
             yield pa.RecordBatch.from_arrays([b[0], pa.array(texts, pa.string())], names=["doc_id", "text"])
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm import labels as L
+from brindle.llm.rows import TEXTS, slices
 
 SAMPLE = 20_000
 FOLDS, FOLD = 3, 1
@@ -88,25 +89,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on at most `rows` labelled documents outside the held-out fold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b[2], pa.array([statistics(t.as_py()) for t in b[1]], pa.list_(pa.float64()))], names=["label", "x"])
 
     chosen = L.sample(labels, "quality", FOLDS, FOLD, rows)
     got = L.labelled(docs, chosen, id_col, text_col).mapInArrow(run, "label int, x array<double>").toArrow()
-    x = np.array(got["x"].to_pylist(), float).reshape(got.num_rows, len(statistics("")))
-    return fit(x, got["label"].to_numpy())
+    x, y = np.array(got["x"].to_pylist(), float).reshape(got.num_rows, len(statistics(""))), got["label"].to_numpy()
+    order = np.lexsort((*x.T, y))  # so that sums don't depend on partitions
+    return fit(x[order], y[order])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every whole text.
 
-    Null texts score as empty ones. Where no label of one class is at hand every score is 0.5. Null ids and
-    repeated rows are scored like others; columns other than id and text are not read.
+    Null texts score as empty ones, very long ones by the whole. Where no label of one class is at hand every score is
+    0.5. Null ids and repeated rows are scored like others, ties and all. No rows give none; columns other than id and
+    text are not read, whatever their names.
     """
     model = train(docs, labels, id_col, text_col, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             x = np.array([statistics(t.as_py()) for t in b[1]], float)
             score = model.score(x) if model and b.num_rows else np.full(b.num_rows, 0.5)
             held = [L.held_out(i, FOLDS, FOLD) for i in b[0].to_pylist()]
@@ -116,14 +119,19 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents predicted good, with all their columns; a row is scored by its own text."""
-    model = train(docs, labels, id_col, text_col)
+    """The rows predicted good, with all their columns; a row is scored by its own text, so ids don't matter.
 
-    @F.pandas_udf("boolean")
-    def good(texts):
-        x = np.array([statistics(t) for t in texts], float)
-        import pandas as pd
+    Null texts score as empty ones, very long ones by the whole; repeated rows share the verdict. Where no label of one
+    class is at hand every row stays. No rows give none. Other columns may have any name.
+    """
+    model = train(docs, labels, id_col, text_col)
 
-        return pd.Series(model.score(x) >= 0.5 if model is not None and len(texts) else np.ones(len(texts), bool))
+    @F.arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:
+        parts = [np.ones(len(texts) if model is None else 0, bool)]
+        if model is not None:
+            for k in range(0, len(texts), TEXTS):
+                parts.append(model.score(np.array([statistics(t.as_py()) for t in texts.slice(k, TEXTS)], float)) >= 0.5)
+        return pa.array(np.concatenate(parts))
 
     return docs.where(good(F.col(f"`{text_col}`")))

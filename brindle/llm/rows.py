@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
@@ -12,6 +14,17 @@ ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 HOT = 1_000  # a key is hot if more than one in HOT of the rows have it, so at most HOT keys are
 
 
+TEXTS = 500  # whose results a Python worker holds at a time
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = TEXTS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, so that a worker holds the results of few texts; freed memory goes back at the end."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def fresh() -> str:
     """A column name that no table has."""
     return f"_{uuid.uuid4().hex}"

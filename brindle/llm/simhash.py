@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.rows import ASCII_LOWER, carry_out, join_counted, text_key
+from brindle.llm.rows import ASCII_LOWER, carry_out, join_counted, slices, text_key
 from brindle.llm.similar import similar_links
 from brindle.operators.graph import connected_components
 from brindle.session import scope, stash
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp long) of every whole text; null texts are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fps = np.array([fingerprint(x.as_py(), width, seed) for x in b[1]], np.uint64)
             yield pa.RecordBatch.from_arrays([b[0], pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.bpe import PATTERN
+from brindle.llm.rows import slices
 
 NODES = 1_500_000  # of one trie; a fuller one is begun anew
 _SPLIT = regex.compile(PATTERN).findall
@@ -99,15 +100,16 @@ _TRIES: dict[str, Trie] = {}
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_pretokens, n_tokens, score) of every whole text; score is the log probability.
 
-    Null and empty texts have zeros. Rows stay rows, with null or repeated ids too; other columns are not read.
+    Null and empty texts have zeros, very long ones are counted whole. Of paths with one score the shortest counts (ties).
+    Rows stay rows, with null or repeated ids too, and no rows give none; other columns are not read, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _TRIES:
             _TRIES[path] = Trie(zipf(path))
-        for b in batches:
+        for b in slices(batches):
             got = [_TRIES[path](t.as_py() or "") for t in b[1]]
             a, n, s = zip(*got, strict=True) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([b[0], pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(s, pa.float64())], names=["doc_id", "n_pretokens", "n_tokens", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long, score double")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long, score double")

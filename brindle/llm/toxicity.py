@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm import labels as L
+from brindle.llm.rows import slices
 from brindle.session import scope, stash
 
 #: Bounds of the training, which is all on a bounded sample; scoring has none.
@@ -350,7 +351,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(machine) if machine else None
-        for b in batches:
+        for b in slices(batches):
             s = np.concatenate([machine.probability(score(b[1][k : k + 200].to_pylist())[0]) if machine else np.zeros(len(b[1][k : k + 200])) for k in range(0, b.num_rows, 200)] or [np.zeros(0)])
             held = [L.held_out(i, FOLDS, FOLD) for i in b[0].to_pylist()]
             yield pa.RecordBatch.from_arrays([b[0], pa.array(held, pa.bool_()), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
