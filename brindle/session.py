@@ -56,7 +56,7 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete_path(spark: SparkSession, path: str) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(conf).delete(at, True)
@@ -65,7 +65,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def unstash(df: DataFrame) -> None:
     """Delete the files of a stashed table that nothing reads any more."""
     for path in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        _delete(df.sparkSession, path)
+        delete_path(df.sparkSession, path)
 
 
 class scope:
@@ -88,6 +88,6 @@ class scope:
         made = _OPEN.pop()
         for path in made:
             if path not in self.kept:
-                _delete(self.spark, path)
+                delete_path(self.spark, path)
         if _OPEN:
             _OPEN[-1] += [p for p in made if p in self.kept]

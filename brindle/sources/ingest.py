@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.session import stash
+from brindle.session import delete_path, shared_dir, stash, unstash
 from brindle.sources.table import Table
 
 _MOST_ROUTES = 10_000
@@ -41,8 +41,13 @@ def route_ndjson(lines: DataFrame, root: str, route_key: str | None = None, lear
     if len(counts) > _MOST_ROUTES:
         raise ValueError(f"more than {_MOST_ROUTES} record shapes; give a route_key")
     catalog, rejects = [], routed.where("reason IS NOT NULL").select(F.col(column).alias("line"), "reason")
+    # Dealt out once: a route's table then reads the route's own files only.
+    numbers = spark.createDataFrame([(r["route"], k) for k, r in enumerate(counts)], "route string, __n int")
+    dealt = f"{shared_dir(spark)}/routes-{uuid.uuid4().hex}"
+    own = routed.join(F.broadcast(numbers), "route").select(column, "__n")
+    own.repartition("__n", F.pmod(F.xxhash64(column), F.lit(8))).write.partitionBy("__n").parquet(dealt)
     for k, r in enumerate(counts):
-        mine = routed.where(F.col("route") == r["route"])
+        mine = spark.read.parquet(f"{dealt}/__n={k}")
         learned = spark.read.json(mine.orderBy(F.xxhash64(column), column).limit(learn_rows).select(column).rdd.map(lambda x: x[0])).schema
         parsed = mine.select(column, F.from_json(column, T.StructType([*learned.fields, T.StructField("_corrupt_record", T.StringType())]), {"mode": "PERMISSIVE"}).alias("j"))
         bad = F.when(F.col("j._corrupt_record").isNotNull(), "a value doesn't fit the learned schema")
@@ -56,6 +61,8 @@ def route_ndjson(lines: DataFrame, root: str, route_key: str | None = None, lear
         table = Table.write(rows, f"{root}/{name}", mode="create")
         catalog.append((name, r["route"], table.count_rows(), learned.simpleString()))
     Table.write(rejects, f"{root}/_rejects")
+    unstash(routed)
+    delete_path(spark, dealt)
     made = spark.createDataFrame(catalog, "table string, route string, rows long, schema string")
     Table.write(made, f"{root}/_catalog")
     return made
