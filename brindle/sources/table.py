@@ -257,13 +257,24 @@ class Table:
         m.deletions.append({"path": folder, "rows": sum(per.values())})
 
     def delete(self, predicate: str) -> dict:
+        """Strike the rows that match. Deletions committed meanwhile are kept, in the same fragments too."""
         folder, per = self._addresses(self._matched(predicate).select(F.col("_rowaddr").alias("addr")))
-        if per:
-            def change(old: Manifest, number: int) -> Manifest:
+        while per:
+            def change(old: Manifest, number: int, folder: str = folder, per: dict[int, int] = per) -> Manifest:
                 self._strike(old, folder, per)
                 return old
 
-            self._again(self.log.commit(self.manifest, {"operation": "Delete", "fragments": list(per)}, change))
+            try:
+                self._again(self.log.commit(self.manifest, {"operation": "Delete", "fragments": list(per)}, change))
+                break
+            except RetryableConflict:
+                others = [self.log.read(v) for v in self.log.versions() if v > self.manifest.version]
+                if any(m.transaction["operation"] != "Delete" for m in others):
+                    raise
+                # Only deletions came between, so addresses stand; those struck already are left out.
+                self.manifest = others[-1]
+                gone = self.spark.read.parquet(*[self.store.at(d["path"]) for d in self.manifest.deletions]).select("addr")
+                folder, per = self._addresses(self.spark.read.parquet(self.store.at(folder)).join(gone, "addr", "left_anti"))
         return {"num_deleted_rows": sum(per.values())}
 
     def truncate(self) -> dict:

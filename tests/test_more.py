@@ -209,3 +209,16 @@ def test_random_batches(spark):
     got = sample.rand_batches(spark.range(1000), "id", 64, 3, ["id"], seed=5)
     per = {r["_batch"]: r["count"] for r in got.groupBy("_batch").count().collect()}
     assert len(per) == 3 and all(n == 64 or b == 15 and n == 40 for b, n in per.items())
+
+
+def test_deletions_of_one_fragment_merge(spark, root):
+    spark.range(100).coalesce(1).write.parquet(f"{root}-src")
+    Table.write(spark.read.parquet(f"{root}-src"), root)
+    a, b, c = (Table(spark, root) for _ in range(3))
+    assert a.delete("id < 10")["num_deleted_rows"] == 10 and b.delete("id BETWEEN 5 AND 19")["num_deleted_rows"] == 10
+    assert Table(spark, root).count_rows() == 80 == Table(spark, root).to_df().count() and b.version == 3
+    assert c.delete("id < 3")["num_deleted_rows"] == 0 and Table(spark, root).version == 3
+    d, e = Table(spark, root), Table(spark, root)
+    d.update({"id": "id + 1000"}, "id = 50")
+    with pytest.raises(RetryableConflict):
+        e.delete("id = 51")
