@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from brindle.llm.rows import slices
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHED_WORDS, CACHED_ARCS = 200_000, 500_000
+CACHED_WORDS, CACHED_ARCS = 150_000, 200_000
 LONGEST_CACHED = 64
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.rows import carry_out, text_key
+from brindle.llm.rows import carry_out, few, text_key
 from brindle.session import scope, stash
 
 WIDTH, LITERALS, SHARE = 5, 3, 0.8
@@ -108,10 +108,11 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     whole = whole.select("doc_id", "tkey", "item_id", (F.col("found") / F.col("n")).alias("containment"), (F.col("found") == F.col("n")).alias("same_values"))
     pairs = hits.where("NOT verbatim").groupBy("doc_id", "tkey", "item_id").agg(
         F.first("n").alias("n"), F.size(F.collect_set("ipos")).alias("found"), F.collect_set(F.struct("ipos", "dpos")).alias("at")).where(F.col("found") >= share * F.col("n"))
-    # Only documents with a candidate are read again; the candidates are written first, so that the planner knows their
-    # size and doesn't shuffle the texts where they are few.
+    # Only documents with a candidate are read again: their keys choose them before anything moves.
     pairs = stash(pairs.withColumnsRenamed({"doc_id": "p_id", "tkey": "p_key"}))
-    again = rows.join(pairs, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("tkey") == F.col("p_key"))).drop("p_id", "p_key")
+    keys = stash(pairs.select(F.col("p_id").alias("k_id"), F.col("p_key").alias("k_key")).distinct())
+    some = rows.join(few(keys), F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("tkey") == F.col("k_key")), "left_semi")
+    again = some.join(pairs, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("tkey") == F.col("p_key"))).drop("p_id", "p_key")
     full = again.join(fit(items.select("item_id", "iraw", "itpl")), "item_id").withColumn("draw", raw_words("text")).withColumn("dtpl", template("draw"))
     cut = F.expr(
         f"element_at(transform(array(named_struct('d', draw, 't', dtpl)), v -> filter(transform(at, x -> named_struct('ipos', x.ipos, 'off', x.dpos - x.ipos, "

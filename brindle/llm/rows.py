@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+KEYS = 1_000_000  # rows of a table of keys that is broadcast at most, some 50 MB; larger ones are joined by a shuffle
 HOT = 1_000  # a key is hot if more than one in HOT of the rows have it, so at most HOT keys are
 
 
@@ -30,6 +31,11 @@ def fresh() -> str:
     return f"_{uuid.uuid4().hex}"
 
 
+def few(keys: DataFrame) -> DataFrame:
+    """A stashed table of keys, for broadcast where its count shows that it is small."""
+    return F.broadcast(keys) if keys.count() <= KEYS else keys
+
+
 def text_key(text: str | Column) -> Column:
     return F.xxhash64(text)
 
@@ -57,11 +63,11 @@ def carry_out(docs: DataFrame, verdicts: DataFrame, id_col: str, text_col: str)
 
     A verdict holds for the rows of that id, null being one too, and text: gone ones go, of others one row stays,
     that of the least hash over all columns. tkey is text_key of the text; there is at most one verdict a key. They are
-    a stashed table, so that the planner knows its size and doesn't shuffle the texts where it is small.
+    a stashed table, which spares the texts a shuffle where it is small.
     """
     i, k, g, one = fresh(), fresh(), fresh(), fresh()
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    told = verdicts.select(F.col("doc_id").alias(i), F.col("tkey").alias(k), F.col("gone").alias(g))
+    told = few(verdicts).select(F.col("doc_id").alias(i), F.col("tkey").alias(k), F.col("gone").alias(g))
     met = docs.join(told, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(i)) & (text_key(F.col(f"`{text_col}`")) == F.col(k)), "left")
     rest = met.where(F.col(g).isNull()).select(*cols)
     if verdicts.where("NOT gone").isEmpty():
