@@ -18,6 +18,7 @@ from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -185,6 +186,12 @@ def load(path: str) -> Automaton:
     return _MADE[path]
 
 
+def _lists(codes: list[bytes]) -> pa.ListArray:
+    """Lists of ids from their bytes, without an object for each id."""
+    offsets = np.cumsum([0, *(len(c) // 4 for c in codes)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(codes), "<i4")))
+
+
 def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """(doc_id, ids array<int>?, n_tokens, ids_sha256, decoded_sha256) of every whole text.
 
@@ -203,8 +210,8 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 a.append(hashlib.sha256(code).hexdigest())
                 d.append(hashlib.sha256(coder.decode(code).encode()).hexdigest())
                 if with_ids:
-                    ids.append(array("I", code))
-            cols = [b[0]] + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []) + [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
+                    ids.append(code)
+            cols = [b[0]] + ([_lists(ids)] if with_ids else []) + [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in schema.split(", ")])
 
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -24,6 +25,8 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = TEXTS) -> Iterator[pa.
         for k in range(0, b.num_rows, rows):
             yield b.slice(k, rows)
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
+        trim(0)
 
 
 def fresh() -> str:
