@@ -5,14 +5,17 @@ spend one bit of the error budget, and a pair over budget is pruned. With b+1 bl
 b bits agree in one block whole, so each block's value is a trie of its own and tries are dealt to tasks.
 Within a task links are folded into stars, so copies never become all pairs.
 
-keep_one, the pipeline's stage, is to link texts whose sets of five-word shingles have a Jaccard similarity of 0.8.
-Such texts differ in about ten of 64 bits and often in more; blocks for so many errors are of a few bits each and
-their tries hold nearly all pairs. So it joins the sets themselves, by prefixes, and verifies each candidate.
+keep_one, the pipeline's stage, links texts whose sets of five-word shingles have a Jaccard similarity of 0.8. The same
+join of tries finds its candidates, within more bits: with b+2 blocks, two of them agree whole, and each two blocks'
+values are a trie. Each candidate is verified on the sets. Similar texts can differ in more bits than tries carry (0.8 is
+about ten of 64, often more), so an exact join of the sets by prefixes links those (similar.py).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.rows import ASCII_LOWER, carry_out, join_counted, slices, text_key
-from brindle.llm.similar import similar_links
+from brindle.llm.similar import majority, similar_links
 from brindle.operators.graph import connected_components
 from brindle.session import scope, stash
 
 BITS = 64
 CELL = 20_000  # distinct fingerprints of one block's value that one task takes at a time; more are dealt in cells
 FRONTIER = 500_000
-_ONES = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)  # of each byte, low bit first
+WALK = 30_000  # rows of tries that near_pairs walks at a time
+NEAR = 7  # differing bits within which the tries look for candidates of keep_one
 
 
 def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
@@ -44,12 +48,7 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
         hashes = [digest(b"%b %b %b %b" % w, seed) for w in zip(words, words[1:], words[2:], words[3:])]
     else:
         hashes = [digest(b" ".join(words[k : k + width]), seed) for k in range(n)]
-    h = np.array(hashes, np.uint64).view(np.uint8).reshape(n, 8)
-    if n < 256:
-        ones = np.unpackbits(h, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    else:
-        ones = np.concatenate([np.bincount(h[:, k], minlength=256) @ _ONES for k in range(8)])
-    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
+    return majority(np.array(hashes, np.uint64))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
@@ -122,18 +121,46 @@ def stars(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return root
 
 
-def near_links(fps: DataFrame, budget: int = 4) -> DataFrame:
-    """Links (u, v) between distinct fingerprints fps(fp): enough to connect all that differ in at most budget bits."""
-    blocks = budget + 1
+def forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of the links between n rows so many that they connect the same rows, none of them to spare."""
+    root = np.arange(n)
+    for i, j in links:
+        while True:
+            apart = root[i] != root[j]
+            if not apart.any():
+                break
+            i, j = i[apart], j[apart]
+            high, one = np.unique(np.maximum(root[i], root[j]), return_index=True)  # each hangs on a lower one
+            low = np.minimum(root[i], root[j])[one]
+            yield i[one], j[one]
+            root[high] = low
+            while (up := root[root]).tobytes() != root.tobytes():
+                root = up
+
+
+def _tries(fps: DataFrame, budget: int, agree: int = 1) -> DataFrame:
+    """fps, whose fp are distinct, in tries and cells: (trie, cell) of each, such that any two that differ in at most budget bits meet.
+
+    Of budget + agree blocks so many as `agree` are the same; a trie is of the values of so many blocks.
+    """
+    blocks, others = budget + agree, [c for c in fps.columns if c != "fp"]
     edges = [BITS * k // blocks for k in range(blocks + 1)]
-    keys = [F.shiftrightunsigned(F.shiftleft(F.col("fp"), edges[k]), BITS - (edges[k + 1] - edges[k])) for k in range(blocks)]
-    rows = fps.select("fp", F.posexplode(F.array(*keys)).alias("block", "value")).select("fp", F.expr(f"value * {blocks} + block").alias("trie"))
+    wide = [edges[k + 1] - edges[k] for k in range(blocks)]
+    keys = [F.shiftrightunsigned(F.shiftleft(F.col("fp"), edges[k]), BITS - wide[k]) for k in range(blocks)]
+    chosen = list(combinations(range(blocks), agree))
+    values = [reduce(lambda v, k: F.shiftleft(v, wide[k]).bitwiseOR(keys[k]), c[1:], keys[c[0]]) for c in chosen]
+    rows = fps.select("fp", *others, F.posexplode(F.array(*values)).alias("block", "value")).select("fp", *others, F.expr(f"value * {len(chosen)} + block").alias("trie"))
     # A trie of more rows than CELL is dealt in cells: each row to one part, each pair of parts to one cell.
     large = rows.groupBy("trie").count().where(F.col("count") > CELL).select("trie", F.ceil(F.col("count") / CELL).cast("int").alias("parts"))
     dealt = rows.join(large, "trie", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     dealt = dealt.withColumn("part", part).select(
-        "trie", "fp", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.least(k, F.col("part")) * F.col("parts") + F.greatest(k, F.col("part")))).alias("cell"))
+        "trie", "fp", *others, F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.least(k, F.col("part")) * F.col("parts") + F.greatest(k, F.col("part")))).alias("cell"))
+    return dealt.repartition("trie", "cell")
+
+
+def near_links(fps: DataFrame, budget: int = 4) -> DataFrame:
+    """Links (u, v) between distinct fingerprints fps(fp): enough to connect all that differ in at most budget bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -149,7 +176,44 @@ def near_links(fps: DataFrame, budget: int = 4) -> DataFrame:
         far = root != np.arange(len(fp))
         yield pa.RecordBatch.from_arrays([pa.array(fp[far].view(np.int64)), pa.array(fp[root[far]].view(np.int64))], names=["u", "v"])
 
-    return dealt.repartition("trie", "cell").mapInArrow(run, "u long, v long")
+    return _tries(fps, budget).mapInArrow(run, "u long, v long")
+
+
+def near_pairs(sets: DataFrame, budget: int = NEAR) -> DataFrame:
+    """Pairs (u, v), u < v, of sets(fp, sim): any two whose SimHashes differ in at most budget bits hang together by such pairs.
+
+    Each pair is in budget itself, and there are no more than the sets times the tries. Sets of one SimHash go by the least.
+    """
+    sims = stash(sets.groupBy("sim").agg(F.min("fp").alias("of"), F.count(F.lit(1)).alias("size")))
+
+    def walk(t: pa.Table) -> pa.RecordBatch:
+        trie, cell, fp, of = (t[k].to_numpy() for k in ("trie", "cell", "fp", "of"))
+        fp = fp.view(np.uint64)
+        number = np.cumsum(np.r_[0, (trie[1:] != trie[:-1]) | (cell[1:] != cell[:-1])]).astype(np.uint64)
+        order = np.lexsort((fp, number))
+        fp, of = fp[order], of[order]
+        i, j = np.concatenate([np.empty((2, 0), np.int64), *map(np.stack, forest(len(fp), trie_links(number, fp, budget)))], axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(of[i], of[j])), pa.array(np.maximum(of[i], of[j]))], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows come in the order of tries and cells; whole ones are walked, WALK rows and more at a time
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) < WALK:
+                continue
+            t = pa.Table.from_batches(held)
+            trie, cell = t["trie"].to_numpy(), t["cell"].to_numpy()
+            whole = np.flatnonzero((trie[1:] != trie[:-1]) | (cell[1:] != cell[:-1]))
+            if len(whole):
+                yield walk(t[: whole[-1] + 1])
+                held = t[whole[-1] + 1 :].combine_chunks().to_batches()
+        t = pa.Table.from_batches(held) if held else None
+        if t is not None and t.num_rows:
+            yield walk(t)
+
+    apart = _tries(sims.select(F.col("sim").alias("fp"), "of"), budget, 2).sortWithinPartitions("trie", "cell").mapInArrow(run, "u long, v long")
+    alike = join_counted(sets, sims.where("size > 1"), ["sim"], "size", F.col("fp"), "inner").where("fp <> of")
+    return apart.unionByName(alike.select(F.col("of").alias("u"), F.col("fp").alias("v")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 4, width: int = 4, seed: int = 42) -> DataFrame:
@@ -181,7 +245,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """
     text = F.col(f"`{text_col}`")
     with scope(docs.sparkSession) as sc:
-        rows, links = similar_links(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_key(text).alias("tkey"), text.alias("text")), width, least)
+        rows, links = similar_links(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_key(text).alias("tkey"), text.alias("text")), near_pairs, width, least)
         sets = stash(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
         roots = stash(sets.join(connected_components(links).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
         wide = roots.groupBy("root").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("sets")).where("size > 1")

@@ -1,15 +1,17 @@
-"""Exact links between texts whose sets of word shingles are similar, by a prefix join.
-
-Of shingles in one order, rare first, two sets with a Jaccard similarity of s or more share one of the first
-n - ceil(s * n) + 1. A first round compares each set with one set of each of these shingles, so large groups hang
-together. The second compares the others of the same shingle that don't hang together yet, in cells of bounded size,
-and only gives out pairs that lengths, places and a bitmap of each set can't rule out.
+"""Exact links between texts whose sets of word shingles are similar: near SimHashes first, a prefix join for the rest.
+
+Pairs of near fingerprints come from the caller and are verified on the sets, so most groups hang together. Similar sets
+may have fingerprints too far apart, so a prefix join finds what is left: of shingles in one order, rare first, two sets
+with a Jaccard similarity of s or more share one of the first n - ceil(s * n) + 1. One round compares each set with a few
+sets of each of these shingles, so large groups hang together. The next compares the others of the same shingle that
+don't hang together yet, in cells of bounded size, and only gives out pairs that lengths, places and a bitmap of each
+set can't rule out.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,9 @@ from brindle.operators.graph import connected_components
 from brindle.session import scope, stash, unstash
 
 SAMPLE, COMMON = 5_000, 100_000  # about so many documents show which shingles are frequent; at most so many of these
-LARGE, PIVOTS, ROUNDS = 64, 8, 1  # groups of more sets get more pivots, in so many rounds at most; what they leave goes to the cells
+LARGE, PIVOTS = 64, 8  # a shingle of more sets gets so many pivots, others get one; what they leave goes to the cells
 CELL = 2_000  # sets of one shingle that are compared at a time, with as many others
+_ONES = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)  # of each byte, low bit first
 _MINI = 16  # words of 64 bits of a set's small bitmap; the other has two bits an element at least
 
 
@@ -37,6 +40,17 @@ def shingles(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
     return np.unique(np.fromiter((digest(x, seed) for x in runs), np.uint64, max(1, len(words) - width + 1)))
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash of 64-bit hashes: the bits set in over half of them; zero without any."""
+    n = len(hashes)
+    h = hashes.view(np.uint8).reshape(n, 8)
+    if n < 256:
+        ones = np.unpackbits(h, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    else:
+        ones = np.concatenate([np.bincount(h[:, k], minlength=256) @ _ONES for k in range(8)])
+    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
+
+
 def _set_key(held: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(held.tobytes())).view(np.int64))
 
@@ -70,7 +84,7 @@ def _common(docs: DataFrame, width: int, at_least: int = 5) -> np.ndarray:
 
 
 def _heads(docs: DataFrame, width: int, least: float) -> DataFrame:
-    """(doc_id, tkey, fp, n, mini, bits, heads): each text's set by its hash fp, with its size, bitmaps and first shingles."""
+    """(doc_id, tkey, fp, sim, n, mini, bits, heads): each text's set by its hash fp, with its SimHash, size, bitmaps and first shingles."""
     rank = _common(docs, width)
     order = np.argsort(rank)
     sorted_rank = rank[order]
@@ -88,10 +102,10 @@ def _heads(docs: DataFrame, width: int, least: float) -> DataFrame:
                 heads.append(h[np.lexsort((h, place))][: n - math.ceil(least * n - 1e-9) + 1 if n else 0].view(np.int64))
             maps = [_bitmap(h) for h in held]
             yield pa.RecordBatch.from_arrays(
-                [b[0], b[1], pa.array([_set_key(h) for h in held], pa.int64()), pa.array([len(h) for h in held], pa.int32()), pa.array([_fold(x, _MINI).tobytes() for x in maps], pa.binary()),
-                 pa.array([x.tobytes() for x in maps], pa.binary()), pa.array(heads, pa.list_(pa.int64()))], names=["doc_id", "tkey", "fp", "n", "mini", "bits", "heads"])
+                [b[0], b[1], pa.array([_set_key(h) for h in held], pa.int64()), pa.array(np.array([majority(h) for h in held], np.uint64).view(np.int64)), pa.array([len(h) for h in held], pa.int32()), pa.array([_fold(x, _MINI).tobytes() for x in maps], pa.binary()),
+                 pa.array([x.tobytes() for x in maps], pa.binary()), pa.array(heads, pa.list_(pa.int64()))], names=["doc_id", "tkey", "fp", "sim", "n", "mini", "bits", "heads"])
 
-    return docs.select("doc_id", "tkey", "text").mapInArrow(run, "doc_id long, tkey long, fp long, n int, mini binary, bits binary, heads array<long>")
+    return docs.select("doc_id", "tkey", "text").mapInArrow(run, "doc_id long, tkey long, fp long, sim long, n int, mini binary, bits binary, heads array<long>")
 
 
 def _can_be(p, q, n, m, least: float):
@@ -177,53 +191,51 @@ def _candidates(least: float):
     return run
 
 
-def similar_links(docs: DataFrame, width: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def similar_links(docs: DataFrame, near: Callable[[DataFrame], DataFrame], width: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(rows, links) of docs (doc_id, tkey, text): rows (doc_id, tkey, fp) with fp the hash of a text's set, links (u, v) of sets.
 
-    The links connect all sets of a Jaccard similarity of `least` or more, and no others.
+    The links connect all sets of a Jaccard similarity of `least` or more, and no others. near: of sets (fp, sim) pairs
+    (u, v) whose SimHashes are close; whichever it gives, the links are right, but those it gives spare the join work.
     """
     held = stash(_heads(docs, width, least))
     # Only the sets of several rows are reduced to one; the others needn't move for that.
     several = stash(held.groupBy("fp").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("fp"))
-    names = ["fp", "n", "mini", "bits", "o_id", "o_key", "heads"]
+    names = ["fp", "sim", "n", "mini", "bits", "o_id", "o_key", "heads"]
     rows = held.withColumnsRenamed({"doc_id": "o_id", "tkey": "o_key"}).select(*names)
     least_row = rows.join(several, "fp", "left_semi").groupBy("fp").agg(F.min_by(F.struct(*names[1:]), F.struct("o_id", "o_key")).alias("s")).select("fp", "s.*")
     sets = rows.join(several, "fp", "left_anti").unionByName(least_row)
+    links = _similar(near(sets.select("fp", "sim")), docs, sets, width, least)
+
     posts = sets.select("fp", "n", F.posexplode("heads").alias("i", "h"))
     counts = stash(posts.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     total = counts.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     posts = stash(join_counted(posts, counts, ["h"], "size", F.col("fp"), "inner", total))
-    pivots = posts.groupBy("h").agg(F.min(F.struct("fp", "n", "i")).alias("pivot"), F.count(F.lit(1)).alias("size"))
+
+    def stand(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(members, apart): posts with the root that their set hangs on, and the shingles, with their size, of several roots."""
+        nodes = connected_components(links).withColumnRenamed("node", "fp")
+        members = stash(posts.join(nodes, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+        apart = members.groupBy("h").agg(F.count(F.lit(1)).alias("size"), (F.min("root") != F.max("root")).alias("apart"))
+        return members, stash(apart.where("apart").drop("apart"))
 
     def can_be(n: Column, i: Column, pivot: Column) -> Column:
         """A pair's first common shingle leaves both enough others, so it comes out there."""
         return F.least(n - i, pivot["n"] - pivot["i"]) * (1 + least) >= least * (n + pivot["n"]) - 1e-6
 
-    def compare(some: DataFrame) -> DataFrame:
-        """Links of posts with their pivots."""
-        near = some.where(F.col("fp") != F.col("pivot.fp")).where(can_be(F.col("n"), F.col("i"), F.col("pivot")))
-        return _similar(near.select(F.least("pivot.fp", "fp").alias("u"), F.greatest("pivot.fp", "fp").alias("v")), docs, sets, width, least)
-
-    links = compare(join_counted(posts, stash(pivots), ["h"], "size", F.col("fp"), "inner", total))
-    for turn in range(ROUNDS + 1):
-        nodes = stash(connected_components(links).withColumnRenamed("node", "fp"))
-        members = stash(posts.select("h", "fp", "n", "i").join(nodes, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-        apart = stash(members.groupBy("h").agg(F.count(F.lit(1)).alias("size"), (F.min("root") != F.max("root")).alias("apart")).where("apart").drop("apart"))
-        large = apart.where(F.col("size") > LARGE)
-        if turn == ROUNDS or large.isEmpty():
-            break
-        some = stash(join_counted(members, large, ["h"], "size", F.col("fp"), "inner", total))
-        dealt = F.pmod(F.xxhash64("fp", F.lit(turn)), F.lit(PIVOTS))
-        each = some.groupBy("h", dealt.alias("k")).agg(F.min(F.struct(F.xxhash64("fp", F.lit(~turn)).alias("x"), "fp", "n", "i", "root")).alias("pivot"), F.count(F.lit(1)).alias("size"))
-        pivots = each.groupBy("h").agg(F.collect_list("pivot").alias("pivots"), F.sum("size").alias("size"))  # PIVOTS at most
-        met = join_counted(some, pivots, ["h"], "size", F.col("fp"), "inner", total)
-        apart_from = F.filter("pivots", lambda p: (p["root"] != F.col("root")) & can_be(F.col("n"), F.col("i"), p))
-        more = compare(met.select("fp", "n", "i", F.explode(apart_from).alias("pivot")))
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-        for done in (nodes, members, apart, some):
-            unstash(done)
+    members, apart = stand(links)
+    wanted = apart.withColumn("pivots", F.when(F.col("size") > LARGE, PIVOTS).otherwise(1))
+    some = stash(join_counted(members, wanted, ["h"], "size", F.col("fp"), "inner", total))
+    each = some.groupBy("h", F.pmod(F.xxhash64("fp"), F.col("pivots")).alias("k")).agg(
+        F.min(F.struct(F.xxhash64("fp", F.lit(1)).alias("x"), "fp", "n", "i", "root")).alias("pivot"), F.count(F.lit(1)).alias("size"))
+    pivots = each.groupBy("h").agg(F.collect_list("pivot").alias("met"), F.sum("size").alias("size"))  # PIVOTS at most
+    met = join_counted(some.drop("pivots"), pivots, ["h"], "size", F.col("fp"), "inner", total)
+    apart_from = F.filter("met", lambda p: (p["root"] != F.col("root")) & can_be(F.col("n"), F.col("i"), p))
+    pairs = met.select("fp", F.explode(apart_from).alias("pivot"))
+    links = links.unionByName(_similar(pairs.select(F.least("pivot.fp", "fp").alias("u"), F.greatest("pivot.fp", "fp").alias("v")), docs, sets, width, least))
+    for done in (members, apart, some):
+        unstash(done)
+
+    members, apart = stand(links)
     apart = apart.select("h", "size", F.ceil(F.col("size") / CELL).cast("int").alias("parts"))
     dealt = join_counted(members, apart, ["h"], "size", F.col("fp"), "inner", total).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     dealt = dealt.join(sets.select("fp", "mini"), "fp")

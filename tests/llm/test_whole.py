@@ -101,3 +101,32 @@ def test_licenses_exactly(spark):
     got = {r.doc_id: r for r in licenses.license_scan(docs).collect()}
     assert [got[k].labels for k in range(len(text))] == [label for _, label in text]
     assert got[99].first_word == 1 + len(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "🙂🙂🙂🙂🙂🙂"))
+
+
+def test_near_dedup_by_simhash_tries(spark, monkeypatch):
+    """The stage's candidates come from SimHashes in tries: each pair in budget, and all that are in budget hang together."""
+    r = random.Random(21)
+    flip = lambda x, n: x ^ sum(1 << k for k in r.sample(range(64), n))
+    sims = [flip(x, r.randint(0, 9)) for x in [r.getrandbits(64) for _ in range(8)] for _ in range(25)]
+    sims += sims[:5]  # sets of one SimHash
+    sets = spark.createDataFrame([(k, x - (x >> 63 << 64)) for k, x in enumerate(sims)], "fp long, sim long").repartition(3)
+    monkeypatch.setattr(simhash, "WALK", 50)
+    found = [(x.u, x.v) for x in simhash.near_pairs(sets).collect()]
+    assert found and all(u < v and (sims[u] ^ sims[v]).bit_count() <= 7 for u, v in found)
+
+    def classes(links):
+        root = list(range(len(sims)))
+        for _ in sims:
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    near = [(a, b) for a in range(len(sims)) for b in range(a) if (sims[a] ^ sims[b]).bit_count() <= 7]
+    assert classes(found) == classes(near) and simhash.near_pairs(sets.limit(0)).count() == 0
+
+    asked = []
+    monkeypatch.setattr(simhash, "near_pairs", lambda sets: asked.append(sets) or sets.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0))
+    base = prose(80, r)
+    docs = spark.createDataFrame([(1, base), (2, base + " end"), (3, prose(80, r))], "doc_id long, text string")
+    # Without any candidate from the tries the join by prefixes still links what is similar.
+    assert sorted(x.doc_id for x in simhash.keep_one(docs).collect()) == [1, 3] and asked[0].columns == ["fp", "sim"]
