@@ -8,6 +8,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_spark(app: str = "brindle", cores: int = 8, shuffle: int = 8) -> SparkSession:
@@ -68,6 +69,17 @@ def unstash(df: DataFrame) -> None:
         delete_path(df.sparkSession, path)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Executors collect their garbage, so the heap that a stage grew goes back before the next one's Python workers want memory.
+
+    There is a task for each core, so each executor gets one where all are idle; one that gets none keeps its heap.
+    """
+    sc = spark.sparkContext
+    alone = sc._jsc.sc().getExecutorMemoryStatus().size() == 1  # the driver itself, in local mode
+    tasks = 1 if alone else sc.defaultParallelism
+    spark.range(0, tasks, 1, tasks).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 class scope:
     """Tables stashed inside are deleted at the end, but for those that are kept. What leaves the scope reads kept ones only."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm import bpe, decontaminate, exact_dedup, quality, simhash
 from brindle.llm.queries import tokenizer
-from brindle.session import scope, unstash
+from brindle.session import give_back, scope, unstash
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,14 +18,17 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    give_back(spark)
     return simhash.keep_one(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    give_back(spark)
     return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    give_back(spark)
     return bpe.bpe_encode(docs, tokenizer())
 
 

@@ -130,3 +130,19 @@ def test_near_dedup_by_simhash_tries(spark, monkeypatch):
     docs = spark.createDataFrame([(1, base), (2, base + " end"), (3, prose(80, r))], "doc_id long, text string")
     # Without any candidate from the tries the join by prefixes still links what is similar.
     assert sorted(x.doc_id for x in simhash.keep_one(docs).collect()) == [1, 3] and asked[0].columns == ["fp", "sim"]
+
+
+def test_stages_give_heap_back(spark):
+    """The heap that garbage grew before a stage isn't held while the stage's Python workers want memory."""
+    import gc
+
+    import corpus_pipeline
+
+    jvm, docs = spark.sparkContext._jvm, spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    held = [spark.sparkContext._gateway.new_array(jvm.long, 40_000_000) for _ in range(4)]
+    before = jvm.java.lang.Runtime.getRuntime().totalMemory()
+    assert before > 1_200_000_000
+    del held
+    gc.collect()
+    assert [x.n_tokens for x in corpus_pipeline.encode(spark, docs, "").collect()] == [3]
+    assert jvm.java.lang.Runtime.getRuntime().totalMemory() < before - 500_000_000
