@@ -5,8 +5,9 @@ hash, its anchor. Edges are the token k-mers between a document's consecutive ve
 one to the end of the other. A vertex that always has the same edge before and the same edge after it, in all
 documents, is nonbranching; Spark joins compact the edges that such vertices link to paths. Documents then hold runs
 of paths, and each run is verified against the words at the path's source, its smallest document and place. A window
-inside a verified run is decided by the source. Windows that leave their run, at branches and ends, and those of paths
-that fail (their k-mers' hashes collided) go one by one by 128-bit hash, so the result is that of comparing all windows.
+inside a verified run whose anchor is nonbranching is decided by the source, since all its occurrences lie in runs of that
+path. Windows anchored at a branch, those that leave their run, and those of paths that fail (their k-mers' hashes
+collided) go one by one by 128-bit hash, so the result is that of comparing all windows.
 """
 
 from __future__ import annotations
@@ -149,7 +150,8 @@ def _runs(bits: int, whole: bool):
                         if stop - begin >= WINDOW:
                             inside[begin : stop - WINDOW + 1] = True
                             rows.append((begin, stop, names[first], *_digest(words[begin:stop])))
-                    opened = np.flatnonzero(repeated[of] & ~inside)
+                    # At its ends a run has windows anchored at a vertex that other documents leave by another edge.
+                    opened = np.flatnonzero(repeated[of] & ~(inside & plain[of]))
                 else:
                     opened = np.unique(np.concatenate([np.arange(x, y - WINDOW + 1) for x, y in zip(pos, path, strict=True)]))
                 if rows:

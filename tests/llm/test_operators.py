@@ -120,6 +120,31 @@ def test_substring_dedup_of_passages_about_a_window_long(spark):
     assert rows(got, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want, key=repr)
 
 
+def test_substring_dedup_where_a_window_at_a_branch_is_met_by_another_edge(spark):
+    """A passage goes on, or begins, in one document otherwise than in two that share a longer run; the window at its edge is the first one's too."""
+    r = random.Random(5)
+    own = lambda n: [f"v{r.randrange(10**9)}" for _ in range(n)]
+
+    def vertices(words):
+        _, anchor, places = substring_dedup._anchors(substring_dedup._word_hashes([w.encode() for w in words]), 64)
+        return anchor, places.tolist()
+
+    texts, kinds = [], set()
+    while len(texts) < 18 or kinds != {True, False}:
+        part, last = own(60), r.random() < 0.5
+        one, more = (part + own(60), part + own(60)) if last else (own(60) + part, own(60) + part)
+        at = 10 if last else 60  # the shared window at the passage's edge, and its anchor where that is the edge's vertex
+        edge = 10 if last else 84
+        met = [vertices(x) for x in (one, more)]
+        beside = [p[p.index(edge) + (1 if last else -1)] if a[at] == edge and 0 < p.index(edge) < len(p) - 1 else None for a, p in met]
+        if None not in beside and beside[0] != beside[1]:
+            kinds.add(last)
+            texts += [" ".join(x) for x in (one, own(3) + more + own(3), own(3) + more + own(3))]
+    want = brute_windows([((i, 0), t) for i, t in enumerate(texts)])
+    got = substring_dedup.substring_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert rows(got, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want, key=repr)
+
+
 def test_exact_dedup(docs, empty):
     items = pairs(docs)
     norm = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in items]
