@@ -11,9 +11,13 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -275,6 +279,56 @@ def list_elements(df: DataFrame, column: str) -> DataFrame:
     return df.select("*", F.posexplode(column).alias("_doc_index", "__e")).drop(column).withColumnRenamed("__e", column)
 
 
+DOCS = 1000  # documents whose postings a Python worker makes at a time
+
+
+def _grouped(terms: pa.ListArray) -> tuple[pa.Array, pa.ListArray]:
+    """Each document's number of tokens and its terms with their positions in order."""
+    dl = pc.fill_null(pc.list_value_length(terms), 0).to_numpy()
+    t, p = terms.flatten().flatten()
+    known, place = t.dictionary_encode("encode"), p.to_numpy()
+    code, of = known.indices.to_numpy(), np.repeat(np.arange(len(dl)), dl)
+    order = np.lexsort((place, code, of))
+    code, of = code[order], of[order]
+    first = np.flatnonzero(np.r_[np.ones(min(len(of), 1), bool), (np.diff(of) != 0) | (np.diff(code) != 0)])
+    positions = pa.ListArray.from_arrays(pa.array(np.r_[first, len(of)].astype(np.int32)), pa.array(place[order]))
+    posts = pa.StructArray.from_arrays([known.dictionary.take(pa.array(code[first])), positions], names=["term", "positions"])
+    ends = np.r_[0, np.bincount(of[first], minlength=len(dl)).cumsum()].astype(np.int32)
+    return pa.array(dl, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), posts)
+
+
+def _documents(df: DataFrame, column: str, p: Params) -> DataFrame:
+    """(_rowaddr, dl, posts) of the rows with a text; a document's postings are made from it alone, nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, DOCS):
+                b = whole.slice(at, DOCS)
+                yield pa.RecordBatch.from_arrays([b[0], *_grouped(b[1] if p.native else analyzer.analyzed(b[1], p))], names=["_rowaddr", "dl", "posts"])
+
+    given = analyzer.terms(F.col(column), p) if p.native else F.col(column)
+    return df.where(F.col(column).isNotNull()).select("_rowaddr", given.alias("given")).mapInArrow(run, "_rowaddr long, dl int, posts array<struct<term: string, positions: array<int>>>")
+
+
+def _lengths_and(df: DataFrame, column: str, p: Params, wanted: set[str]) -> DataFrame:
+    """(_rowaddr, dl, terms) of the rows with a text: of the terms only those wanted leave the analysis."""
+    df = df.where(F.col(column).isNotNull())
+    if p.native:
+        return df.select("_rowaddr", analyzer.terms(F.col(column), p).alias("terms")).select("_rowaddr", F.size("terms").alias("dl"), F.filter("terms", lambda x: x["t"].isin(sorted(wanted))).alias("terms"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dl, found = [], []
+            for text in b[1]:
+                tokens = analyzer.tokenize(text.as_py(), p)
+                dl.append(len(tokens))
+                found.append([{"t": t, "p": at} for t, at in tokens if t in wanted])
+            kind = pa.list_(pa.struct([("t", pa.string()), ("p", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([b[0], pa.array(dl, pa.int32()), pa.array(found, kind)], names=["_rowaddr", "dl", "terms"])
+
+    return df.select("_rowaddr", column).mapInArrow(run, "_rowaddr long, dl int, terms array<struct<t: string, p: int>>")
+
+
 FETCHED = 10_000  # rows found by an index that go by the driver, to know their fragments; of more the table is joined whole
 
 
@@ -289,10 +343,9 @@ class TextIndex:
     def build(cls, table, column: str, name: str | None = None, **params) -> "TextIndex":
         p = Params(**params)
         path = f"_indices/{uuid.uuid4().hex}"
-        df = stash(table.to_df(system=True, columns=[column]).select("_rowaddr", analyzer.terms(F.col(column), p).alias("terms")).where("terms IS NOT NULL"))
-        df.select("_rowaddr", F.size("terms").alias("dl")).write.parquet(table.store.at(f"{path}/lengths"))
-        one = df.select("_rowaddr", F.size("terms").alias("dl"), F.explode("terms").alias("x"))
-        posts = one.groupBy(F.col("x.t").alias("term"), "_rowaddr", "dl").agg(F.sort_array(F.collect_list("x.p")).alias("positions"))
+        df = stash(_documents(table.to_df(system=True, columns=[column]), column, p))
+        df.select("_rowaddr", "dl").write.parquet(table.store.at(f"{path}/lengths"))
+        posts = df.select("_rowaddr", "dl", F.inline("posts")).select("term", "_rowaddr", "dl", "positions")
         posts.repartitionByRange("term", "_rowaddr").sortWithinPartitions("term", "_rowaddr").write.parquet(table.store.at(f"{path}/postings"))
         unstash(df)
         from brindle.plans.indexes import register
@@ -320,22 +373,25 @@ class TextIndex:
         plan = _Plan(None, {}, self.params)
         if not self.params.with_position and any(isinstance(q, PhraseQuery) for q in plan._leaves(query)):
             raise ValueError("position is not found but required for phrase queries, try recreating the index with position")
-        live = [f.id for f in table.manifest.fragments]
-        covered = sorted(Planner(table)._covered(self.entry) & set(live))
-        rest = [] if fast else [f for f in live if f not in set(covered)]
+        live = {f.id for f in table.manifest.fragments}
+        covered = sorted(Planner(table)._covered(self.entry) & live)
+        rest = [] if fast else sorted(live - set(covered))
         postings, lengths = self._of_live("postings", covered), self._of_live("lengths", covered).select("dl")
         vocabulary = postings.select(F.col("term").alias("t"))
         fresh = None
         if rest:
-            fresh = table.to_df(system=True, fragments=rest, columns=[column]).select("_rowaddr", analyzer.terms(F.col(column), self.params).alias("terms")).where("terms IS NOT NULL")
-            fresh = stash(fresh.select("_rowaddr", F.size("terms").alias("dl"), "terms"))
-            lengths, vocabulary = lengths.unionByName(fresh.select("dl")), vocabulary.unionByName(fresh.select(F.explode(F.transform("terms", lambda x: x["t"])).alias("t")))
+            fresh = table.to_df(system=True, fragments=rest, columns=[column])
+            if any(isinstance(q, MatchQuery) and q.fuzziness for q in plan._leaves(query)):  # its terms are known by all words only
+                vocabulary = vocabulary.unionByName(fresh.select(F.explode(F.transform(analyzer.terms(F.col(column), self.params), lambda x: x["t"])).alias("t")))
         terms = plan.expand(query, vocabulary)
+        if rest:
+            fresh = stash(_lengths_and(fresh, column, self.params, terms))
+            lengths = lengths.unionByName(fresh.select("dl"))
         total = lengths.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
         own = postings.where(F.col("term").isin(sorted(terms)))
         docs = own.groupBy("_rowaddr").agg(F.first("dl").alias("dl"), F.flatten(F.collect_list(F.transform("positions", lambda p: F.struct(F.col("term").alias("t"), p.alias("p"))))).alias("terms"))
         if fresh is not None:
-            docs = docs.unionByName(fresh.select("_rowaddr", "dl", F.filter("terms", lambda x: x["t"].isin(sorted(terms))).alias("terms")).where("size(terms) > 0"))
+            docs = docs.unionByName(fresh.where("size(terms) > 0"))
         plan.docs, plan.terms, plan.length, plan.total = stash(docs), {column: "terms"}, "dl", tuple(total)
         plan.prepare(query)
         best = plan.docs.select("_rowaddr", plan.score(query).alias("_score")).where("_score IS NOT NULL")

@@ -381,11 +381,12 @@ def fts_fuzzy(spark, sf_dir):
 def fts_postings(spark, sf_dir):
     """The best 25 by an index of postings over half of the documents and a scan of the other half, appended later."""
     def make() -> fts.TextIndex:
-        df = load(spark, sf_dir, "documents").select("doc_id", "text").orderBy("doc_id")
-        half = df.agg(F.expr("percentile_approx(doc_id, 0.5)")).first()[0]
-        t = versioned(df.where(F.col("doc_id") <= half).coalesce(1))
+        docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+        half = docs.agg(F.expr("percentile_approx(doc_id, 0.5)")).first()[0]
+        df = docs.orderBy("doc_id")  # files are numbered in this order, so row ids are too
+        t = versioned(df.where(F.col("doc_id") <= half))
         index = fts.TextIndex.build(t, "text", **{k: v for k, v in analyzer.PLAIN.__dict__.items()})
-        return fts.TextIndex(t.append(df.where(F.col("doc_id") > half).coalesce(1)), index.entry)
+        return fts.TextIndex(t.append(df.where(F.col("doc_id") > half)), index.entry)
 
     return once(spark, sf_dir, "fts_postings", make).search(_M("license data", "text"), 25).select("doc_id", F.round("_score", 6).alias("_score"))
 

@@ -1,5 +1,7 @@
 import math
 import random
+import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -306,3 +308,47 @@ def test_blobs(spark, tmp_path):
     (tmp_path / "b.bin").write_bytes(b"0123456789")
     df = spark.createDataFrame([(str(tmp_path / "b.bin"), 2, 3), (None, 0, 1)], "uri string, position long, size long")
     assert {bytes(r.content) if r.content else None for r in ingest.fetch_blobs(df).collect()} == {b"234", None}
+
+
+def test_fts_postings_writes_its_table_in_many_tasks(spark):
+    """Not by one task over half of the documents; row ids still follow doc_id, as ties are decided by them."""
+    from brindle.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    kept, catalogue._MADE = catalogue._MADE, {}
+    try:
+        catalogue.QUERIES["fts_postings"](spark, sf)
+        (index,) = catalogue._MADE.values()
+        assert len(index.table.manifest.fragments) > 4
+        got = [r["doc_id"] for r in index.table.to_df(system=True).orderBy("_rowid").collect()]
+        assert got == sorted(got) and len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    finally:
+        catalogue._MADE = kept
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("how", [{}, {"stem": False, "remove_stop_words": False, "ascii_folding": False}])
+def test_postings_are_made_of_each_document_by_itself(spark, root, monkeypatch, how):
+    """Tokens aren't shuffled to group them, and of documents that the index doesn't cover only the query's terms are kept."""
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    dealt, kept, deal, put = [], [], Classic.repartitionByRange, fts.stash
+    monkeypatch.setattr(Classic, "repartitionByRange", lambda df, *a: (dealt.append(df._jdf.queryExecution().executedPlan().toString()), deal(df, *a))[1])
+    monkeypatch.setattr(fts, "stash", lambda df: (kept.append(put(df)), kept[-1])[1])
+    texts = ["the cat sat, the cat ran", "", None, "Dogs and CATS", "a dog " * 50, "b" * 60, "ünï dog"]
+    t = Table.write(spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1), root)
+    index = fts.TextIndex.build(t, "text", with_position=True, **how)
+    assert len(dealt) == 1 and "Exchange" not in dealt[0] and "Aggregate" not in dealt[0]
+    want = Counter()
+    for k, x in enumerate(texts):
+        tokens = analyzer.tokenize(x, index.params)
+        for w in {w for w, _ in tokens}:
+            want[w, k, tuple(p for v, p in tokens if v == w), len(tokens)] += 1
+    assert Counter((r.term, r._rowaddr, tuple(r.positions), r.dl) for r in index.postings().collect()) == want
+    index = fts.TextIndex(t.append(spark.createDataFrame([(10, "dog eats dog"), (11, "nothing here"), (12, None)], "id long, text string")), index.entry)
+    kept.clear()
+    got = {r["id"] for r in index.search(fts.MatchQuery("dog", "text")).collect()}
+    assert got == {r["id"] for r in fts.search(t.to_df(), fts.MatchQuery("dog", "text"), params=index.params).collect()}
+    fresh = [r for df in kept if "dl" in df.columns for r in df.collect()]
+    assert {x["t"] for r in fresh for x in r["terms"]} == {"dog"} and sum(r["dl"] > 0 for r in fresh) >= 2
