@@ -121,30 +121,31 @@ def _plain(path: str | None) -> str | None:
 
 
 def sql(name: str, args: list[str], keys: list) -> str:
-    """Spark SQL of an accessor; keys: the values of literal arguments."""
+    """Spark SQL of an accessor; keys: the values of literal arguments. A document is parsed once, for a lambda that asks its value more often."""
     doc = args[0]
     if name.startswith("json_get"):
         key = keys[0]
         if not isinstance(key, (str, int)) or isinstance(key, bool) or "'" in str(key) or "\\" in str(key):
             raise ValueError(f"{name} takes a key in quotes")
         by_index = f"try_variant_get(parse_json({doc}), '$[{key}]', 'variant')" if re.fullmatch(r"\d+", str(key)) else "NULL"
-        v = f"coalesce(try_variant_get(parse_json({doc}), '$[\\'{key}\\']', 'variant'), {by_index})"
-        kind = f"schema_of_variant({v})"
+        made = f"coalesce(try_variant_get(parse_json({doc}), '$[\\'{key}\\']', 'variant'), {by_index})"
+        if name == "json_get":
+            return f"to_json({made})"
+        v, kind = "__j.v", "__j.kind"
+        once = lambda test: f"element_at(transform(array(named_struct('v', {made})), __i -> transform(array(named_struct('v', __i.v, 'kind', schema_of_variant(__i.v))), __j -> {test})[0]), 1)"
         number = f"({kind} IN ('BIGINT', 'DOUBLE', 'FLOAT') OR {kind} LIKE 'DECIMAL%')"
         none = f"WHEN {v} IS NULL OR {kind} = 'VOID' THEN NULL"
         text = f"variant_get({v}, '$', 'string')"
         fail = lambda what: f"ELSE raise_error('Failed to convert to {what}: InvalidCast') END)"
-        if name == "json_get":
-            return f"to_json({v})"
         if name == "json_get_string":
-            return f"(CASE {none} WHEN {kind} IN ('BOOLEAN', 'STRING') OR {number} THEN {text} {fail('string')}"
+            return once(f"(CASE {none} WHEN {kind} IN ('BOOLEAN', 'STRING') OR {number} THEN {text} {fail('string')}")
         if name == "json_get_int":
-            return (f"(CASE {none} WHEN {kind} = 'BOOLEAN' THEN if({text} = 'true', 1L, 0L) WHEN {kind} = 'BIGINT' THEN variant_get({v}, '$', 'bigint') "
+            return once(f"(CASE {none} WHEN {kind} = 'BOOLEAN' THEN if({text} = 'true', 1L, 0L) WHEN {kind} = 'BIGINT' THEN variant_get({v}, '$', 'bigint') "
                     f"WHEN {number} OR {kind} = 'STRING' AND try_cast({text} AS double) IS NOT NULL THEN coalesce(try_cast({text} AS bigint), cast(round(cast({text} AS double)) AS bigint)) {fail('integer')}")
         if name == "json_get_float":
-            return (f"(CASE {none} WHEN {kind} = 'BOOLEAN' THEN if({text} = 'true', 1.0D, 0.0D) "
+            return once(f"(CASE {none} WHEN {kind} = 'BOOLEAN' THEN if({text} = 'true', 1.0D, 0.0D) "
                     f"WHEN {number} OR {kind} = 'STRING' AND try_cast({text} AS double) IS NOT NULL THEN cast({text} AS double) {fail('float')}")
-        return (f"(CASE {none} WHEN {kind} = 'BOOLEAN' THEN {text} = 'true' WHEN {kind} = 'STRING' AND lower({text}) IN ('true', 'yes') THEN true "
+        return once(f"(CASE {none} WHEN {kind} = 'BOOLEAN' THEN {text} = 'true' WHEN {kind} = 'STRING' AND lower({text}) IN ('true', 'yes') THEN true "
                 f"WHEN {kind} = 'STRING' AND lower({text}) IN ('false', 'no') THEN false {fail('boolean')}")
     plain = _plain(keys[0] if isinstance(keys[0], str) else None)
     if name == "json_extract" and plain:

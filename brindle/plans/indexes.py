@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from brindle.functions import emit, json_path
 from brindle.functions.dialect import Node, parse
+from brindle.session import stash
 
 KINDS = ("BTREE", "BITMAP", "LABEL_LIST", "ZONEMAP", "BLOOMFILTER", "NGRAM", "JSON")
 ZONE = 8192
@@ -49,7 +50,8 @@ def create(table, column: str, kind: str = "BTREE", name: str | None = None, pat
 
 
 def _side(table, column: str, kind: str, path: str | None, fragments: list[int] | None) -> DataFrame:
-    df = table.to_df(system=True, fragments=fragments, columns=[column.partition(".")[0]]).select(F.col("_rowaddr").alias("addr"), F.col(column).alias("value"))
+    rows = table.to_df(system=True, fragments=fragments, columns=[column.partition(".")[0]])
+    df = rows.select(F.col("_rowaddr").alias("addr"), F.col(column).alias("value"))
     t = df.schema["value"].dataType
     zone = [F.shiftright("addr", 32).alias("frag"), F.floor(F.col("addr").bitwiseAND(0xFFFFFFFF) / ZONE).cast("int").alias("zone")]
     if kind in ("BTREE", "BITMAP"):
@@ -67,7 +69,7 @@ def _side(table, column: str, kind: str, path: str | None, fragments: list[int]
     elif kind == "NGRAM":
         made = df.select("addr", F.explode(trigrams(F.col("value"))).alias("value")).repartitionByRange("value", "addr").sortWithinPartitions("value", "addr")
     else:
-        made = table.to_df(system=True, fragments=fragments, columns=[column]).select(F.col("_rowaddr").alias("addr"), emit.column(f"json_extract({column}, '{path}')", table.schema, table.spark).alias("value"))
+        made = rows.select(F.col("_rowaddr").alias("addr"), emit.column(f"json_extract({column}, '{path}')", table.schema, table.spark).alias("value"))
         made = made.repartitionByRange("value", "addr").sortWithinPartitions("value", "addr")
     return made
 
@@ -125,13 +127,14 @@ def optimize(table) -> None:
 class Candidates:
     """Addresses (addr) that may match, and the fragments for which that is known; zones: (frag, zone) instead.
 
-    exact: just these rows match, but for deleted ones.
+    exact: just these rows match, but for deleted ones. costly: they are stashed before they are asked more than once.
     """
 
     rows: DataFrame
     covered: set[int]
     zones: bool = False
     exact: bool = False
+    costly: bool = False
 
 
 def _literal(n: Node):
@@ -169,14 +172,14 @@ class Planner:
             a, b = map(self.plan, node.args)
             if a is None or b is None or a.zones != b.zones:
                 one = a or b if a is None or b is None else b if a.zones else a
-                return one and Candidates(one.rows, one.covered, one.zones)
+                return one and Candidates(one.rows, one.covered, one.zones, costly=one.costly)
             key = ["frag", "zone"] if a.zones else ["addr"]
-            return Candidates(a.rows.join(b.rows, key, "left_semi"), a.covered & b.covered, a.zones, a.exact and b.exact)
+            return Candidates(a.rows.join(b.rows, key, "left_semi"), a.covered & b.covered, a.zones, a.exact and b.exact, a.costly or b.costly)
         if node.op == "or":
             a, b = map(self.plan, node.args)
             if a is None or b is None or a.zones != b.zones:
                 return None
-            return Candidates(a.rows.unionByName(b.rows).distinct(), a.covered & b.covered, a.zones, a.exact and b.exact)
+            return Candidates(a.rows.unionByName(b.rows).distinct(), a.covered & b.covered, a.zones, a.exact and b.exact, a.costly or b.costly)
         return self._lookup(node)
 
     def _lookup(self, node: Node) -> Candidates | None:
@@ -214,7 +217,7 @@ class Planner:
             back = side.withColumn(own, F.concat(F.lit(lead), "value", F.lit("}" * len(keys))))
             json_path.register(self.table.spark)
             test = emit.Emitter(T.StructType([T.StructField(own, T.StringType())]))(node)[0]
-            return Candidates(back.where(F.expr(test)).select("addr"), self._covered(entry))
+            return Candidates(back.where(F.expr(test)).select("addr"), self._covered(entry), costly=True)
         return None
 
     def _predicate(self, node: Node):
@@ -313,12 +316,13 @@ class Narrowed:
         if found.zones:
             hit = {r[0] for r in found.rows.select("frag").distinct().collect()}  # a row a fragment
         else:
-            few = found.rows.limit(INLINE + 1).collect()
+            self.rows = stash(found.rows) if found.costly else found.rows
+            few = self.rows.limit(INLINE + 1).collect()
             if len(few) <= INLINE:
                 hit = {r[0] >> 32 for r in few}
                 self.rows = F.broadcast(table.spark.createDataFrame([(r[0],) for r in few], "addr long"))
             else:
-                hit = {r[0] for r in found.rows.select(F.shiftright("addr", 32)).distinct().collect()}  # a row a fragment
+                hit = {r[0] for r in self.rows.select(F.shiftright("addr", 32)).distinct().collect()}  # a row a fragment
         live = {f.id for f in table.manifest.fragments}
         self.fragments = sorted((hit & found.covered & live) | set(self.rest))
 

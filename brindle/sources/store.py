@@ -83,6 +83,11 @@ class Store:
             out.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
         return sorted(out)
 
+    def count(self, name: str, ending: str) -> int:
+        """How many files right below a folder have the ending, in one call."""
+        found = self._fs.globStatus(self._p(f"{name}/*{ending}"))
+        return len(found) if found is not None else 0
+
     def folders(self, name: str) -> list[str]:
         if not self.exists(name):
             return []

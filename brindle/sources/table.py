@@ -25,6 +25,7 @@ from brindle.sources.store import Store
 ROWS_PER_FILE = 1 << 20
 BROADCAST_ROWS = 1_000_000  # of addresses; more are joined by a shuffle
 BROADCAST_FRAGMENTS = 100_000
+LISTED = 32  # files that are read by their names; of more, a folder whose files are all wanted is listed as one
 SYSTEM = ("_rowid", "_rowaddr", "_row_created_at_version", "_row_last_updated_at_version")
 _KEPT = T.StructType([T.StructField("__rowid", T.LongType()), T.StructField("__created", T.LongType()), T.StructField("__updated", T.LongType())])
 
@@ -96,13 +97,10 @@ class Table:
         """(file, rows, bytes) of df written below the root."""
         spark, folder = df.sparkSession, f"data/{uuid.uuid4().hex}"
         void = {f.name: F.col(emit.quote(f.name)).cast("string") for f in df.schema.fields if isinstance(f.dataType, T.NullType)}
-        df.withColumns(void).write.option("maxRecordsPerFile", rows_per_file).parquet(store.at(folder))
-        found = {p.rpartition("/")[2]: n for p, n, _ in store.list(folder) if p.endswith(".parquet")}
-        if not found:
-            return []
-        counts = spark.read.parquet(store.at(folder)).groupBy(F.col("_metadata.file_name").alias("f")).count().collect()  # a row a file
-        count = {r["f"]: r["count"] for r in counts}
-        return [(f"{folder}/{n}", count[n], b) for n, b in sorted(found.items()) if count.get(n)]
+        df = df.withColumns(void)
+        df.write.option("maxRecordsPerFile", rows_per_file).parquet(store.at(folder))
+        written = spark.read.schema(df.schema).parquet(store.at(folder)).groupBy(F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_size").alias("b")).count().collect()  # a row a file
+        return sorted((f"{folder}/{r['f']}", r["count"], r["b"]) for r in written)
 
     @staticmethod
     def _add(m: Manifest, files: list[tuple[str, int, int]], number: int, schema: int, take_ids: bool = True) -> list[int]:
@@ -166,7 +164,8 @@ class Table:
         """
         m, spark = self.manifest, self.spark
         wanted = [f for f in m.fields if columns is None or f["name"] in columns]
-        live = [f for f in m.fragments if fragments is None or f.id in set(fragments)]
+        asked = None if fragments is None else set(fragments)
+        live = [f for f in m.fragments if asked is None or f.id in asked]
         patches = [p for p in m.patches if any(f["id"] in p["fields"] for f in wanted)]
         dead = sum(f.deleted for f in live)
         addressed = system or dead > 0 or bool(patches) or deleted
@@ -191,7 +190,7 @@ class Table:
         m, spark = self.manifest, self.spark
         held = {h["id"]: h for h in m.schemas[kind]}
         schema = T.StructType([T.StructField(h["column"], T._parse_datatype_json_value(h["type"])) for h in m.schemas[kind]] + _KEPT.fields)
-        df = spark.read.schema(schema).parquet(*[self.store.at(f.file) for f in fragments])
+        df = spark.read.schema(schema).parquet(*[self.store.at(p) for p in self._paths([f.file for f in fragments])])
         cols = []
         for f in wanted:
             h = held.get(f["id"])
@@ -206,6 +205,19 @@ class Table:
         row_id = F.coalesce("__rowid", F.col("__first") + F.col("__pos")) if m.next_row_id is not None else addr
         return df.select(*cols, row_id.alias("_rowid"), addr.alias("_rowaddr"), F.coalesce("__created", "__version").alias("_row_created_at_version"), F.coalesce("__updated", "__version").alias("_row_last_updated_at_version"))
 
+    def _paths(self, files: list[str]) -> list[str]:
+        """The files, or their folders: Spark looks up each path given to it by itself."""
+        if len(files) <= LISTED:
+            return files
+        held: dict[str, list[str]] = {}
+        for f in files:
+            held.setdefault(f.rpartition("/")[0], []).append(f.rpartition("/")[2])
+        out = []
+        for folder, names in held.items():
+            whole = len(names) > 1 and self.store.count(folder, ".parquet") == len(names)
+            out += [folder] if whole else [f"{folder}/{n}" for n in names]
+        return out
+
     def _patched(self, df: DataFrame, patch: dict, wanted: list[dict]) -> DataFrame:
         fields = [f for f in wanted if f["id"] in patch["fields"]]
         rows = self.spark.read.parquet(self.store.at(patch["path"]))

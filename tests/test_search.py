@@ -352,3 +352,27 @@ def test_postings_are_made_of_each_document_by_itself(spark, root, monkeypatch,
     assert got == {r["id"] for r in fts.search(t.to_df(), fts.MatchQuery("dog", "text"), params=index.params).collect()}
     fresh = [r for df in kept if "dl" in df.columns for r in df.collect()]
     assert {x["t"] for r in fresh for x in r["terms"]} == {"dog"} and sum(r["dl"] > 0 for r in fresh) >= 2
+
+
+def test_json_is_parsed_once_and_folders_are_listed_whole(spark, root, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameReader
+
+    from brindle.functions import json_path
+    from brindle.plans import indexes
+
+    for name in ("json_get_string", "json_get_int", "json_get_float", "json_get_bool"):
+        assert json_path.sql(name, ["props", "'k'"], ["k"]).count("parse_json(") == 1
+    df = spark.range(200).selectExpr("id", "concat('{\"k\": ', id % 20, '}') AS props").coalesce(1)
+    t = Table.write(df, root, rows_per_file=5)
+    indexes.create(t, "props", "JSON", path="$.k")
+    paths, read, made = [], DataFrameReader.parquet, []
+    monkeypatch.setattr(DataFrameReader, "parquet", lambda r, *p, **o: (paths.append(len(p)), read(r, *p, **o))[1])
+    put = getattr(indexes, "stash", None)
+    if put:
+        monkeypatch.setattr(indexes, "stash", lambda d: (made.append(1), put(d))[1])
+    monkeypatch.setattr(indexes, "INLINE", 5)
+    got = {r["id"] for r in Scan(t, columns=["id"], filter="json_get_int(props, 'k') = 7 OR json_get_int(props, 'k') BETWEEN 1 AND 18").to_df().collect()}
+    assert got == {i for i in range(200) if 1 <= i % 20 <= 18}
+    assert made == [1] and max(paths) == 1
+    assert t.to_df(fragments=[f.id for f in t.manifest.fragments][:35]).count() == 175
+    assert max(paths) == 35
