@@ -114,24 +114,26 @@ def nearest(df: DataFrame, spec: dict, key: str | list[str]) -> DataFrame:
             vectors = b.column(len(keys))
             if multi:
                 d, rows = _multivector(vectors, q, metric)
+                d = [d]
             else:
                 x, rows = _matrix(vectors, width, spec["binary"])
-                d = np.concatenate([distances(x, q[a : a + max(1, CANDIDATES // max(1, x.size))], metric) for a in range(0, len(q), max(1, CANDIDATES // max(1, x.size)))]) if len(rows) else np.zeros((n, 0))
+                step = max(1, CANDIDATES // max(1, x.size, len(x)))
+                d = (distances(x, q[a : a + step], metric) for a in range(0, n, step)) if len(rows) else [np.zeros((n, 0))]
             at, of, value = [], [], []
-            for j in range(n):
-                row = np.where(np.isnan(d[j]), np.inf, d[j])
+            for j, far in enumerate(row for part in d for row in part):  # few queries' distances are held at a time
+                row = np.where(np.isnan(far), np.inf, far)
                 ok = np.ones(len(row), bool)
                 if bounds[0] is not None:
-                    ok &= ~(d[j] < bounds[0])
+                    ok &= ~(far < bounds[0])
                 if bounds[1] is not None:
-                    ok &= ~(d[j] >= bounds[1])
+                    ok &= ~(far >= bounds[1])
                 ok = np.flatnonzero(ok)
                 if len(ok) > k:  # ties at the edge stay, so that the key decides among them
                     edge = np.partition(row[ok], k - 1)[k - 1]
                     ok = ok[row[ok] <= edge]
                 at.append(rows[ok])
                 of.append(np.full(len(ok), j, np.int32))
-                value.append(d[j][ok])
+                value.append(far[ok])
             at = np.concatenate(at)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(of)), *(b.column(c).take(pa.array(at)) for c in range(len(keys))), pa.array(np.concatenate(value), pa.float64())], names=schema.fieldNames())
 

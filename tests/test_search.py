@@ -354,6 +354,38 @@ def test_postings_are_made_of_each_document_by_itself(spark, root, monkeypatch,
     assert {x["t"] for r in fresh for x in r["terms"]} == {"dog"} and sum(r["dl"] > 0 for r in fresh) >= 2
 
 
+def test_batch_searches_hold_few_distances(spark, monkeypatch):
+    """A batch's distances to all queries never stand in memory together."""
+    r = np.random.default_rng(3)
+    data = [(i, [float(x) for x in v]) for i, v in enumerate(r.normal(size=(300, 8)))]
+    df = spark.createDataFrame(data, "id long, v array<float>").coalesce(1)
+    q = r.normal(size=(500, 8))
+    monkeypatch.setattr(vector, "CANDIDATES", 8 * 300 * 4)
+    made: list = []
+    rows = vector.nearest(df, {"column": "v", "q": q, "k": 3}, "id").collect()
+    x = np.array([v for _, v in data], np.float32).astype(np.float64)
+    want = {(j, i) for j in range(500) for i in np.argsort(((x - q[j]) ** 2).sum(1), kind="stable")[:3]}
+    assert {(row["query_index"], row["id"]) for row in rows} == want
+    # The step that the executors run, here, with its memory.
+    class Given:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def mapInArrow(self, run, schema):
+            made.append(run)
+            return self.inner.mapInArrow(run, schema)
+
+    select = type(df).select
+    monkeypatch.setattr(type(df), "select", lambda d, *c: Given(select(d, *c)) if d is df else select(d, *c))
+    vector.nearest(df, {"column": "v", "q": np.tile(q, (20, 1)), "k": 3}, "id")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(x.astype(np.float32).tolist(), pa.list_(pa.float32()))], names=["id", "v"])
+    tracemalloc.start()
+    assert sum(b.num_rows for b in made[0](iter([batch]))) == 30_000
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 10_000 * 300 * 8 / 2  # bytes of half of the distances
+
+
 def test_json_is_parsed_once_and_folders_are_listed_whole(spark, root, monkeypatch):
     from pyspark.sql.readwriter import DataFrameReader
 
